@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, topk, wavelet
+from . import fingerprint, mixing, topk, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": topk.op1_topk,
+        "op10_mixing": mixing.op10_mixing,
         "op5_fingerprints": fingerprint.op5_fingerprints,
         "op4_token_ids": wavelet.op4_token_ids,
     }
