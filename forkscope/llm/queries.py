@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, topk, wavelet
+from . import fingerprint, mixing, ngram_join, topk, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk": topk.op1_topk,
         "op10_mixing": mixing.op10_mixing,
         "op5_fingerprints": fingerprint.op5_fingerprints,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op4_token_ids": wavelet.op4_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.OP1_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL}

@@ -8,9 +8,12 @@ range and the places where it occurs without unpacking the sequence.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +30,7 @@ MAGIC = b"FSWAVE01"
 STEP = 512
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that are split and looked up at once, and words that a task remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 1 << 20
+SLICE_BYTES, REMEMBERED = 4 << 20, 1 << 19
 
 
 class WaveletMatrix:
@@ -47,9 +50,9 @@ class WaveletMatrix:
         for shift in range(bits - 1, -1, -1):
             one = ((seq >> seq.dtype.type(shift)) & seq.dtype.type(1)).astype(bool)
             planes.append(np.packbits(one))
-            low = seq[~one]
+            low = np.compress(~one, seq)
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[one]])
+            seq = np.concatenate([low, np.compress(one, seq)])
         return cls(len(ids), zeros, planes)
 
     def to_bytes(self) -> bytes:
@@ -155,51 +158,94 @@ class WaveletMatrix:
             one = np.unpackbits(plane, count=self.n).astype(bool)
             zeros = self.n - int(np.count_nonzero(one))
             back = np.empty_like(seq)
-            back[~one] = seq[:zeros]
-            back[one] = seq[zeros:] | seq.dtype.type(1 << shift)
+            back[np.flatnonzero(~one)] = seq[:zeros]
+            back[np.flatnonzero(one)] = seq[zeros:] | seq.dtype.type(1 << shift)
             seq = back
         return seq.astype("<u4")
 
 
+#: The parts of a tokenizer file under which ASCII white space and the edges of letter runs always end a token.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte of Latin-1 as itself, the n-th other one as character 256 + n."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
-    """encode(text) of the tokenizers library without special tokens, word by word.
+    """encode(text) of the tokenizers library without special tokens.
 
-    The tokenizer's patterns never join characters across ASCII white space, so
-    the ids of a text are those of its words; each distinct word is encoded by
-    the library once and remembered.
+    For a tokenizer that never joins characters across ASCII white space and
+    ignores case, each distinct word is encoded by the library once and
+    remembered; texts that may hold a special token, and all texts of other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        rules = json.loads(self.library.to_str())
+        pre = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(pre) == 2 and pre[0].get("pattern") == {"Regex": SPLIT} and pre[1]["type"] == "ByteLevel" and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = list(set(words).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+        """A run of Latin letters is one token of the splitting pattern, as is a comma or full stop after it: it goes straight to the library's merges."""
+        known, rest, run = self.known, [], self.library.model.tokenize
+        ends = {b"": b""} | ({c: self.whole([c])[0] for c in (b",", b".")})
+        for word in set(words).difference(known):
+            core, end = (word[:-1], word[-1:]) if word[-1:] in ends else (word, b"")
+            text = core.decode().lower()
+            if text.isalpha() and max(text) < "\u0250":
+                if not text.isascii():
+                    text = core.decode().lower().encode().decode("latin-1").translate(self.letters)
+                known[word] = np.array([t.id for t in run(text)], "<u4").tobytes() + ends[end]
+            else:
+                rest.append(word)
+        known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return self.whole(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = [t.split() for t in texts]
-        self.learn(w for each in words for w in each)
-        return [b"".join(map(self.known.__getitem__, each)) for each in words]
+        words = [None if b"<|" in t else t.lower().split() for t in texts]
+        self.learn(w for each in words if each for w in each)
+        get = self.known.__getitem__
+        return [self.whole([t])[0] if each is None else b"".join(map(get, each)) for t, each in zip(texts, words, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
+#: Rows that are taken out of an Arrow batch at once.
+ROWS = 128
 
 
 def slices(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes, null as empty) in slices of about SLICE_BYTES."""
     at, size, held = 0, 0, []
-    for i, v in enumerate(values.cast(pa.large_binary()).to_pylist() if len(values) else []):
-        held.append(v or b"")
-        size += len(held[-1])
-        if size >= SLICE_BYTES:
-            yield at, held
-            at, size, held = i + 1, 0, []
+    for first in range(0, len(values), ROWS):
+        for v in values.slice(first, ROWS).cast(pa.large_binary()).to_pylist():
+            held.append(v or b"")
+            size += len(held[-1])
+            if size >= SLICE_BYTES:
+                yield at, held
+                at, size, held = at + len(held), 0, []
     if held:
         yield at, held
 
@@ -209,7 +255,7 @@ SHARD = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, lengths
 
 def _packer(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         part, seq, ids, lengths, held, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard():
@@ -222,7 +268,7 @@ def _packer(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             for at, texts in slices(batch.column("text")):
-                for k, got in enumerate(encoder.encode(texts)):
+                for k, got in enumerate(encode(texts)):
                     got += end
                     if n and n + len(got) // 4 > shard_tokens:
                         yield shard()

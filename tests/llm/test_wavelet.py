@@ -37,7 +37,7 @@ def test_shards_that_are_broken_are_refused():
         wavelet.WaveletMatrix.from_bytes(data)[100]
 
 
-TEXTS = ["Hello  wörld", None, "", "  ", "it's a b\u0085c \x1f d", "é é <|endoftext|>x", "ΑΣ Σ", "x" * 3000, "1234 don't\n\tI'LL", "漢字 ok", "word " * 5000]
+TEXTS = ["Hello  wörld", None, "", "  ", "it's a b\u0085c \x1f d", "é é <|endoftext|>x", "ΑΣ Σ", "x" * 3000, "1234 don't\n\tI'LL", "漢字 ok", "word " * 5000, "ÉCOLE, İstanbul. ǅ ª. ß, a.b ., x., e\u0301. ŉ Ɐ, ﬁ. <|EndOfText|> x", "don't. l'été, ñandú. I'm,"]
 
 
 def test_shards_round_trip(spark, tmp_path):
@@ -76,3 +76,13 @@ def test_query_against_the_library(spark):
         ids = np.array([*library.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[d.doc_id] == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_words_like_whole_texts():
+    encoder = wavelet.Encoder(PATH)
+    assert encoder.by_word
+    texts = [t.encode() for t in TEXTS if t is not None]
+    assert encoder.encode(texts) == [encoder.whole([t])[0] for t in texts]
+    other = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word
+    assert other.encode(texts) == [np.array(other.library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
