@@ -12,7 +12,7 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -195,23 +195,28 @@ class Encoder:
         self.by_word = (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(pre) == 2 and pre[0].get("pattern") == {"Regex": SPLIT} and pre[1]["type"] == "ByteLevel" and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         self.known: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
+        self.packed = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
+        self.ends = {c: self.whole([c])[0] for c in (b",", b".")}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(got.ids, "<u4").tobytes() for got in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """A run of Latin letters is one token of the splitting pattern, as is a comma or full stop after it: it goes straight to the library's merges."""
-        known, rest, run = self.known, [], self.library.model.tokenize
-        ends = {b"": b""} | ({c: self.whole([c])[0] for c in (b",", b".")})
-        for word in set(words).difference(known):
-            core, end = (word[:-1], word[-1:]) if word[-1:] in ends else (word, b"")
-            text = core.decode().lower()
-            if text.isalpha() and max(text) < "\u0250":
-                if not text.isascii():
-                    text = core.decode().lower().encode().decode("latin-1").translate(self.letters)
-                known[word] = np.array([t.id for t in run(text)], "<u4").tobytes() + ends[end]
-            else:
+        known, rest, run, packed = self.known, [], self.library.model.tokenize, self.packed
+        for word in words.difference(known):
+            end = self.ends.get(word[-1:], b"")
+            text = (word[:-1] if end else word).decode()
+            if not text.isascii():
+                text = text.lower()
+                if max(text) >= "\u0250" or not text.isalpha():
+                    rest.append(word)
+                    continue
+                text = text.encode().decode("latin-1").translate(self.letters)
+            elif not text.isalpha():
                 rest.append(word)
+                continue
+            known[word] = b"".join([packed[t.id] for t in run(text)]) + end
         known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -221,7 +226,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = [None if b"<|" in t else t.lower().split() for t in texts]
-        self.learn(w for each in words if each for w in each)
+        self.learn(set().union(*filter(None, words)))
         get = self.known.__getitem__
         return [self.whole([t])[0] if each is None else b"".join(map(get, each)) for t, each in zip(texts, words, strict=True)]
 
