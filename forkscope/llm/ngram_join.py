@@ -2,8 +2,8 @@
 
 Documents with equal sets are one class. Two sets that link share an n-gram
 among the first few of either in a global order (the rest alone would be too
-small an overlap); frequent n-grams come last in that order, so that few sets
-meet there. Sets that meet, directly or over others, form a group, and all
+small an overlap); n-grams of rare words come first in that order and n-grams
+of many documents last, so that few sets meet there by chance. Sets that meet, directly or over others, form a group, and all
 links lie within groups. A group's sets are stored in a tree, most frequent
 n-gram of the group first, so that alike sets share their paths: a set walks
 down it, carrying the overlap on the way, and leaves subtrees whose remaining
@@ -27,7 +27,7 @@ from . import common, components, shingles
 WORDS, PERCENT = 4, 85
 #: Shingles that two blocks of a group hold together, about.
 GROUP_SHINGLES = 4_000_000
-#: An n-gram that at least so many sets of one task hold is counted over all tasks; the most frequent ones come last in the order.
+#: What comes up so often in one task is counted over all tasks; the order knows the most frequent words and n-grams.
 LOCAL_LEAST, FREQUENT = 4, 1 << 18
 
 
@@ -163,70 +163,86 @@ def joined(members: list[np.ndarray], percent: int) -> list[int]:
     return out
 
 
-def _counted(size: int):
-    """Document frequencies of the n-grams that several sets of the task hold."""
+class Tally:
+    """Counts of the values of one task; the rest of a value that comes up once starts anew in long tasks, which only moves it in the order."""
+
+    def __init__(self):
+        self.held, self.waiting = [], 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def take(self, values: np.ndarray) -> None:
+        self.held.append(values)
+        self.waiting += len(values)
+        if self.waiting >= 1 << 20:
+            self.merge()
+
+    def merge(self) -> None:
+        every = np.concatenate([self.values, *self.held])
+        counts = np.concatenate([self.counts, np.ones(len(every) - len(self.counts), np.int64)])
+        order = np.argsort(every, kind="stable")
+        v, c = every[order], counts[order]
+        if len(v):
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            v, c = v[first], np.add.reduceat(c, first)
+        if len(v) > 1 << 23:
+            v, c = v[c > 1], c[c > 1]
+        self.values, self.counts, self.held, self.waiting = v, c, [], 0
+
+    def rows(self, word: bool) -> pa.RecordBatch:
+        self.merge()
+        often = self.counts >= LOCAL_LEAST
+        n = int(often.sum())
+        return pa.RecordBatch.from_arrays([pa.array([word] * n, pa.bool_()), pa.array(self.values[often].view(np.int64)), pa.array(self.counts[often])], ["word", "hash", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
-        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def merge():
-            all_values = np.concatenate([values, *held])
-            all_counts = np.concatenate([counts, np.ones(len(all_values) - len(counts), np.int64)])
-            order = np.argsort(all_values, kind="stable")
-            v, c = all_values[order], all_counts[order]
-            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
-            return v[first], np.add.reduceat(c, first) if len(v) else c
+def _counted(size: int):
+    """How often the words of a task occur, and how many of its documents hold an n-gram."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams = Tally(), Tally()
         for batch in batches:
-            for _, own in shingles.sets(batch.column(0), size):
-                held.append(own)
-                waiting += len(own)
-                if waiting >= 1 << 20:
-                    values, counts = merge()
-                    held, waiting = [], 0
-                    if len(values) > 1 << 23:  # long tasks: what has come up once so far starts anew; this only moves it in the order
-                        values, counts = values[counts > 1], counts[counts > 1]
-        values, counts = merge()
-        often = counts >= LOCAL_LEAST
-        yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["gram", "n"])
+            for _, texts in shingles.slices(batch.column(0)):
+                words.take(shingles.words(texts)[0])
+                hashes, many = shingles.shingles(texts, size)
+                owner = np.repeat(np.arange(len(many)), many)
+                order = np.lexsort((owner, hashes))
+                new = np.ones(len(order), bool)
+                new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                grams.take(hashes[order[new]])
+        yield words.rows(True)
+        yield grams.rows(False)
 
     return count
 
 
 class Order:
-    """Which n-grams come last, and how they are ordered there."""
-
-    def __init__(self, grams: np.ndarray):
-        """grams: from the rarer to the more frequent ones."""
-        by = np.argsort(grams)
-        self.grams, self.place = grams[by], by
-        self.marks = np.zeros(1 << 22, bool)
-        self.marks[(grams >> np.uint64(42)).astype(np.int64)] = True
-
-    def first(self, own: np.ndarray, n: int) -> np.ndarray:
-        """The first n of a set."""
-        maybe = np.flatnonzero(self.marks[(own >> np.uint64(42)).astype(np.int64)])
-        if not len(maybe):
-            return own[:n]
-        at = np.minimum(np.searchsorted(self.grams, own[maybe]), len(self.grams) - 1)
-        hit = self.grams[at] == own[maybe]
-        cold = np.delete(own, maybe[hit])
-        if len(cold) >= n:
-            return cold[:n]
-        late = own[maybe[hit]][np.argsort(self.place[at[hit]])]
-        return np.concatenate([cold, late])[:n]
+    """The global order: an n-gram's place is one number, made of its words' frequencies and its hash.
+
+    N-grams of rare words come first, since they hardly meet by chance; those
+    that many documents hold come last. Both tables are addressed by 22 bits of
+    a hash; what shares a cell shares its fate, alike in all documents.
+    """
+
+    def __init__(self, words: list[tuple[int, int]], grams: list[int]):
+        self.weights, self.frequent = np.zeros(1 << 22, np.uint8), np.zeros(1 << 22, bool)
+        hashes = np.array([h for h, _ in words], np.int64).view(np.uint64) >> np.uint64(42)
+        np.maximum.at(self.weights, hashes.astype(np.int64), np.array([min(60, n.bit_length()) for _, n in words], np.uint8))
+        self.frequent[(np.array(grams, np.int64).view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+
+    def place(self, hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        first = np.where(self.frequent[(hashes >> np.uint64(42)).astype(np.int64)], np.uint64(255), sums.astype(np.uint64))
+        return first << np.uint64(56) | hashes & np.uint64((1 << 56) - 1)
 
 
 def _described(order: Order, size: int, percent: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, prefixes = [], [], [], []
-            for _, own in shingles.sets(batch.column("text"), size):
+            for _, own in shingles.sets(batch.column("text"), size, order.weights, order.place):
                 n.append(len(own))
                 one.append(int(np.bitwise_xor.reduce(own)) if len(own) else 0)
                 two.append(int(shingles.mixed(own).sum(dtype=np.uint64)) if len(own) else 0)
-                prefixes.append(order.first(own, len(own) - least_overlap(len(own), percent) + 1 if len(own) else 0))
+                prefixes.append(own[: len(own) - least_overlap(len(own), percent) + 1])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
@@ -273,9 +289,10 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = docs.select("text").mapInArrow(_counted(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()  # FREQUENT pairs of numbers at most
-    order = Order(np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64))
+    counts = common.stored(docs.select("text").mapInArrow(_counted(size), "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")), "counts")
+    # FREQUENT pairs of numbers each at most; what is not among them still has its place in the order.
+    words, grams = (counts.where(x).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect() for x in ("word", "NOT word"))
+    order = Order([(r.hash, r.n) for r in words], [r.hash for r in grams])
     shared = spark.sparkContext.broadcast(order)
 
     def describe(batches):

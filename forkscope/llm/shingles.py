@@ -58,23 +58,36 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(first, ends), prepend=0)
 
 
-def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of `size` words in text order, and how many each text has: the whole sequence is one where there are fewer words."""
+def shingles(texts: list[bytes], size: int, weigh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Hashes of all shingles of `size` words in text order, and how many each text has: the whole sequence is one where there are fewer words.
+
+    With weigh, a table of small numbers by the first 22 bits of a word's hash,
+    also the sum of each shingle's words' numbers.
+    """
     hashes, counts = words(texts)
     n = len(hashes)
+    weights = weigh[(hashes >> np.uint64(42)).astype(np.int64)] if weigh is not None else np.zeros(0, np.uint8)
     runs = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
-        runs += hashes[k : n - size + 1 + k] * TURNS[k] if len(runs) else runs
+    heavy = np.zeros(len(runs) if weigh is not None else 0, np.uint8)
+    for k in range(size if len(runs) else 0):
+        runs += hashes[k : n - size + 1 + k] * TURNS[k]
+        if len(heavy):
+            heavy += weights[k : n - size + 1 + k]
     starts = np.cumsum(counts) - counts
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    out = np.zeros(len(at), np.uint64)
+    ends = np.cumsum(many)
+    at = np.repeat(starts - (ends - many), many) + np.arange(many.sum())
     full = np.repeat(counts >= size, many)
+    out, sums = np.zeros(len(at), np.uint64), np.zeros(len(at) if weigh is not None else 0, np.uint8)
     out[full] = mixed(runs[at[full]])
+    if len(sums):
+        sums[full] = heavy[at[full]]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
         own = hashes[starts[i] : starts[i] + counts[i]]
-        out[np.cumsum(many)[i] - 1] = mixed((own * TURNS[: len(own)]).sum(dtype=np.uint64, keepdims=True) + TURNS[size + len(own)])[0]
-    return out, many
+        out[ends[i] - 1] = mixed((own * TURNS[: len(own)]).sum(dtype=np.uint64, keepdims=True) + TURNS[size + len(own)])[0]
+        if len(sums):
+            sums[ends[i] - 1] = weights[starts[i] : starts[i] + counts[i]].sum()
+    return (out, many, sums) if weigh is not None else (out, many)
 
 
 def slices(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -91,10 +104,12 @@ def slices(values: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
-def sets(values: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ascending distinct shingle hashes) of each text."""
+def sets(values: pa.Array, size: int, weigh: np.ndarray | None = None, place=None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ascending distinct shingle hashes) of each text; place(hashes, sums) may turn the hashes of a slice into others."""
     for at, texts in slices(values):
-        hashes, many = shingles(texts, size)
+        hashes, many, *sums = shingles(texts, size, weigh)
+        if place:
+            hashes = place(hashes, *sums)
         end = 0
         for i, m in enumerate(many.tolist()):
             own = np.sort(hashes[end : end + m])
