@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, ngram_join, topk, wavelet
+from . import fingerprint, html_extract, mixing, ngram_join, topk, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": mixing.op10_mixing,
         "op5_fingerprints": fingerprint.op5_fingerprints,
         "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op7_html_extract": html_extract.op7_html_extract,
         "op4_token_ids": wavelet.op4_token_ids,
     }
 
