@@ -168,6 +168,9 @@ class WaveletMatrix:
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: ASCII punctuation but the apostrophe, with which a token of its own may begin.
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a printable byte of Latin-1 as itself, the n-th other one as character 256 + n."""
@@ -196,27 +199,37 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
         self.packed = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
-        self.ends = {c: self.whole([c])[0] for c in (b",", b".")}
+        self.ends: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(got.ids, "<u4").tobytes() for got in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        """A run of Latin letters is one token of the splitting pattern, as is a comma or full stop after it: it goes straight to the library's merges."""
-        known, rest, run, packed = self.known, [], self.library.model.tokenize, self.packed
+        """A run of Latin letters is one token of the splitting pattern and goes straight to the library's merges; so is punctuation after it."""
+        known, rest, run, packed, ends = self.known, [], self.library.model.tokenize, self.packed, self.ends
         for word in words.difference(known):
-            end = self.ends.get(word[-1:], b"")
-            text = (word[:-1] if end else word).decode()
-            if not text.isascii():
-                text = text.lower()
-                if max(text) >= "\u0250" or not text.isalpha():
+            core = word.rstrip(MARKS)
+            got = known.get(core)
+            if got is None:
+                text = core.decode()
+                if not text.isascii():
+                    text = text.lower()
+                    if max(text) >= "\u0250" or not text.isalpha():
+                        rest.append(word)
+                        continue
+                    text = text.encode().decode("latin-1").translate(self.letters)
+                elif not text.isalpha():
                     rest.append(word)
                     continue
-                text = text.encode().decode("latin-1").translate(self.letters)
-            elif not text.isalpha():
+                known[core] = got = b"".join([packed[t.id] for t in run(text)])
+            elif not core.isalpha() and not core.decode().isalpha():
                 rest.append(word)
                 continue
-            known[word] = b"".join([packed[t.id] for t in run(text)]) + end
+            if len(core) < len(word):
+                end = word[len(core) :]
+                if end not in ends:
+                    ends[end] = self.whole([end])[0]
+                known[word] = got + ends[end]
         known.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -225,6 +238,7 @@ class Encoder:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.ends.clear()
         words = [None if b"<|" in t else t.lower().split() for t in texts]
         self.learn(set().union(*filter(None, words)))
         get = self.known.__getitem__

@@ -37,7 +37,7 @@ def test_shards_that_are_broken_are_refused():
         wavelet.WaveletMatrix.from_bytes(data)[100]
 
 
-TEXTS = ["Hello  wörld", None, "", "  ", "it's a b\u0085c \x1f d", "é é <|endoftext|>x", "ΑΣ Σ", "x" * 3000, "1234 don't\n\tI'LL", "漢字 ok", "word " * 5000, "ÉCOLE, İstanbul. ǅ ª. ß, a.b ., x., e\u0301. ŉ Ɐ, ﬁ. <|EndOfText|> x", "don't. l'été, ñandú. I'm,"]
+TEXTS = ["Hello  wörld", None, "", "  ", "it's a b\u0085c \x1f d", "é é <|endoftext|>x", "ΑΣ Σ", "x" * 3000, "1234 don't\n\tI'LL", "漢字 ok", "word " * 5000, "ÉCOLE, İstanbul. ǅ ª. ß, a.b ., x., e\u0301. ŉ Ɐ, ﬁ. <|EndOfText|> x", "don't. l'été, ñandú. I'm,", "the*** the, the the!! x'' ** a-b, a-b* 1, 1 ½, ½ é, e\u0301 e\u0301, the'll, the',"]
 
 
 def test_shards_round_trip(spark, tmp_path):
