@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, mixing, ngram_join, topk, wavelet
+from . import fingerprint, html_extract, langid, mixing, ngram_join, quality, topk, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprints": fingerprint.op5_fingerprints,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op7_html_extract": html_extract.op7_html_extract,
+        "op8_language_id": langid.op8_language_id,
+        "op9_quality": quality.op9_quality,
         "op4_token_ids": wavelet.op4_token_ids,
     }
 

@@ -45,10 +45,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(22, n.bit_length()))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and how many each text has. Words are runs between ASCII white space; A-Z count as a-z."""
+def words(texts: list[bytes], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many each text has. Words are runs between bytes of `spaces` (a line feed must be one); A-Z count as a-z."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = np.concatenate([[True], SPACES[data]])
+    space = np.concatenate([[True], spaces[data]])
     turn = np.flatnonzero(space[1:] != space[:-1])
     first, last = turn[::2], turn[1::2]
     up, down = powers(len(data))
