@@ -3,8 +3,10 @@
 Documents with equal sets are one class. Two sets that link share an n-gram
 among the first few of either in a global order (the rest alone would be too
 small an overlap); n-grams of rare words come first in that order and n-grams
-of many documents last, so that few sets meet there by chance. Sets that meet, directly or over others, form a group, and all
-links lie within groups. A group's sets are stored in a tree, most frequent
+of many documents last, so that few sets meet there by chance. Of those that
+meet, parity marks rule out pairs that differ too much. Sets that are still
+candidates, directly or over others, form a group, and all links lie within
+groups. A group's sets are stored in a tree, most frequent
 n-gram of the group first, so that alike sets share their paths: a set walks
 down it, carrying the overlap on the way, and leaves subtrees whose remaining
 length, or whose sizes, cannot reach the threshold. A subtree whose sets are
@@ -28,7 +30,9 @@ WORDS, PERCENT = 4, 85
 #: Shingles that two blocks of a group hold together, about.
 GROUP_SHINGLES = 4_000_000
 #: What comes up so often in one task is counted over all tasks; the order knows the most frequent words and n-grams.
-LOCAL_LEAST, FREQUENT = 4, 1 << 18
+LOCAL_LEAST, FREQUENT, TALLIED = 4, 1 << 17, 1 << 21
+#: Least number of bits of a set's parity marks, and documents of an n-gram that are compared at once.
+MARKS, BUCKET_ROWS = 1024, 4096
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -184,7 +188,7 @@ class Tally:
         if len(v):
             first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             v, c = v[first], np.add.reduceat(c, first)
-        if len(v) > 1 << 23:
+        if len(v) > TALLIED:
             v, c = v[c > 1], c[c > 1]
         self.values, self.counts, self.held, self.waiting = v, c, [], 0
 
@@ -223,35 +227,119 @@ class Order:
     a hash; what shares a cell shares its fate, alike in all documents.
     """
 
-    def __init__(self, words: list[tuple[int, int]], grams: list[int]):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, grams: np.ndarray):
         self.weights, self.frequent = np.zeros(1 << 22, np.uint8), np.zeros(1 << 22, bool)
-        hashes = np.array([h for h, _ in words], np.int64).view(np.uint64) >> np.uint64(42)
-        np.maximum.at(self.weights, hashes.astype(np.int64), np.array([min(60, n.bit_length()) for _, n in words], np.uint8))
-        self.frequent[(np.array(grams, np.int64).view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+        at = (words.view(np.uint64) >> np.uint64(42)).astype(np.int64)
+        np.maximum.at(self.weights, at, np.minimum(60, 1 + np.log2(counts)).astype(np.uint8))
+        self.frequent[(grams.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
 
     def place(self, hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
         first = np.where(self.frequent[(hashes >> np.uint64(42)).astype(np.int64)], np.uint64(255), sums.astype(np.uint64))
         return first << np.uint64(56) | hashes & np.uint64((1 << 56) - 1)
 
 
+def _marks(own: np.ndarray) -> bytes:
+    """Bit b tells whether an odd number of the set's hashes fall on b: two sets differ in as many n-grams as marks at least. A power of two of bits, half the set's size at least."""
+    bits = max(MARKS, 1 << (len(own) // 2).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(marks: np.ndarray, width: int) -> np.ndarray:
+    """Marks of as many words by the same hashes with fewer bits."""
+    while marks.shape[-1] > width:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
 def _described(order: Order, size: int, percent: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, prefixes = [], [], [], []
+            n, one, two, prefixes, marks = [], [], [], [], []
             for _, own in shingles.sets(batch.column("text"), size, order.weights, order.place):
                 n.append(len(own))
                 one.append(int(np.bitwise_xor.reduce(own)) if len(own) else 0)
                 two.append(int(shingles.mixed(own).sum(dtype=np.uint64)) if len(own) else 0)
+                marks.append(_marks(own))
                 prefixes.append(own[: len(own) - least_overlap(len(own), percent) + 1])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
             signs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *signs, lists], ["doc_id", "n", "one", "two", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *signs, lists, pa.array(marks, pa.binary())], ["doc_id", "n", "one", "two", "prefix", "marks"])
 
     return describe
 
 
+def near(sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all sets whose sizes and marks leave a link possible, directly or over others.
+
+    Those near the first one are connected over it and need no comparison among
+    themselves; every other set is compared with all.
+    """
+    labels, pairs = np.arange(len(sizes)), []
+    waiting = np.ones(len(sizes), bool)
+    own = [np.frombuffer(m, np.uint64) for m in marks]
+    width = np.array([len(m) for m in own])
+    #: By width: which sets, and their marks folded to any smaller width.
+    levels = {int(w): (at, {int(w): np.stack([own[k] for k in at])}) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
+    for i in range(len(sizes)):
+        if not waiting[i]:
+            continue
+        apart = np.zeros(len(sizes), np.int64)
+        for w, (at, folded) in levels.items():
+            least = min(w, int(width[i]))
+            if least not in folded:
+                folded[least] = _folded(folded[w], least)
+            apart[at] = np.bitwise_count(folded[least] ^ _folded(own[i], least)).sum(1, dtype=np.int64)
+        both = sizes + sizes[i]
+        close = ((100 + percent) * apart <= (100 - percent) * both) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        for other in np.unique(labels[close]):
+            if other != labels[i]:
+                pairs.append((i, int(np.flatnonzero(close & (labels == other))[0])))
+                labels[labels == other] = labels[i]
+        if i == 0:
+            waiting[close] = False
+    return pairs
+
+
+def _near_in_buckets(percent: int):
+    """Rows come sorted by (gram, i, j), the key of a bucket."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def bucket() -> list[tuple[int, int]]:
+            ids, sizes = (np.concatenate([h[k] for h in held]) for k in range(2))
+            marks = [m for h in held for m in h[2]]
+            return [(ids[i], ids[j]) for i, j in near(sizes, marks, percent)]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            found: list[tuple[int, int]] = []
+            keys = np.stack([batch.column(c).to_numpy() for c in ("gram", "i", "j")], 1)
+            ids, sizes = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
+            marks = batch.column("marks").to_pylist()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                now = tuple(keys[a])
+                if now != key and held:
+                    found += bucket()
+                    held = []
+                key = now
+                held.append((ids[a:b], sizes[a:b], marks[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if held:
+            found = bucket()
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs
+
+
 def _with_sets(size: int):
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,6 +367,14 @@ def _joined_cell(percent: int):
     return join
 
 
+def _in_block_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows (doc_id, blocks, ...) with i and j: where a key has several blocks, a row goes to each pair with its own block."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+
+
 def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; others are ignored).
 
@@ -291,29 +387,32 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = common.stored(docs.select("text").mapInArrow(_counted(size), "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")), "counts")
     # FREQUENT pairs of numbers each at most; what is not among them still has its place in the order.
-    words, grams = (counts.where(x).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect() for x in ("word", "NOT word"))
-    order = Order([(r.hash, r.n) for r in words], [r.hash for r in grams])
+    words, grams = (counts.where(x).orderBy(F.desc("n"), "hash").limit(FREQUENT).select("hash", "n").toArrow() for x in ("word", "NOT word"))
+    order = Order(words["hash"].to_numpy(), words["n"].to_numpy(), grams["hash"].to_numpy())
     shared = spark.sparkContext.broadcast(order)
 
     def describe(batches):
         return _described(shared.value, size, percent)(batches)
 
-    rows = common.stored(docs.mapInArrow(describe, "doc_id long, n long, one long, two long, prefix array<long>"), "sets")
+    rows = common.stored(docs.mapInArrow(describe, "doc_id long, n long, one long, two long, prefix array<long>, marks binary"), "sets")
     key = ["n", "one", "two"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first"))
-    first = rows.join(classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"]).select("doc_id", "n", F.explode("prefix").alias("gram"))
-    met = first.groupBy("gram").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last")
-    edges = first.join(met, "gram").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    first = common.stored(rows.join(classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"]), "classes")
+    grams = first.select("doc_id", F.explode("prefix").alias("gram"))
+    # Buckets of the same documents are one: the number and the joint hash of a bucket's documents tell.
+    met = grams.groupBy("gram").agg(F.count("*").alias("many"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"), F.sum(F.xxhash64("doc_id") % (1 << 31)).alias("total")).where("low <> high")
+    met = met.groupBy("many", "low", "high", "sign", "total").agg(F.min("gram").alias("gram"))
+    cut = F.when(F.col("many") > BUCKET_ROWS, F.ceil(2 * F.col("many") / BUCKET_ROWS)).otherwise(1).cast("int")
+    buckets = grams.join(met.select("gram", cut.alias("blocks")), "gram").join(first.select("doc_id", "n", "marks"), "doc_id")
+    edges = _in_block_pairs(buckets, ["gram"]).repartition(common.partitions(spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    edges = edges.select("gram", "i", "j", "doc_id", "n", "marks").mapInArrow(_near_in_buckets(percent), "a long, b long")
     groups = components.connected(edges)
     groups = groups.union(groups.select("component", "component").distinct()).toDF("doc_id", "g")
     members = common.stored(groups.join(rows.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "groups")
     blocks = members.groupBy("g").agg(F.ceil(2 * F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks")).select("g", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1).alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
-    dealt = members.join(blocks, "g").withColumn("own", own)
-    texts = docs.join(dealt.select("doc_id", "g", "blocks", "own"), "doc_id")
-    sets = texts.mapInArrow(_with_sets(size), "doc_id long, g long, blocks int, own int, grams binary")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
-    cells = sets.withColumn("other", F.explode(others)).select("doc_id", "g", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
+    texts = docs.join(members.join(blocks, "g").select("doc_id", "g", "blocks"), "doc_id")
+    sets = texts.mapInArrow(_with_sets(size), "doc_id long, g long, blocks int, grams binary")
+    cells = _in_block_pairs(sets, ["g"])
     links = common.stored(cells.groupBy("g", "i", "j").applyInArrow(_joined_cell(percent), "a long, b long, many boolean").where("a <> b"), "links")
     found = links.where("NOT many").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
     if links.where("many").limit(1).count():

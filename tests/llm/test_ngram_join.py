@@ -63,6 +63,30 @@ def _in_order(text, size):
     return [tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)] if len(ws) >= size else [tuple(ws)] if ws else []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.sampled_from([20, 50, 85]), st.sampled_from([60, 1200, 5000]))
+def test_marks_lose_no_link(seed, n, percent, size):
+    rng = random.Random(seed)
+    base = rng.sample(range(10**9), size)
+    sets = [{x if rng.random() < 0.95 else rng.randrange(10**9) for x in rng.sample(base, rng.randint(size // 5, size))} if rng.random() < 0.7 else {rng.randrange(10**9) for _ in range(60)} for _ in range(n)]
+    marks = [ngram_join._marks(shingles.mixed(np.array(sorted(s), np.uint64))) for s in sets]
+    pairs = ngram_join.near(np.array([len(s) for s in sets]), marks, percent)
+    assert len(pairs) < n
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                assert find(i) == find(j)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 40), st.sampled_from([50, 70, 85, 100]))
 def test_prefix_tree_against_all_pairs(seed, n, percent):
@@ -96,7 +120,9 @@ def rows_of(seed, n):
 def test_against_all_pairs(spark, monkeypatch, group, least):
     monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", group)
     monkeypatch.setattr(ngram_join, "LOCAL_LEAST", least)
-    rows = rows_of(1, 150) + [(0, None), (2, ""), (5, " \n "), (8, "one"), (11, "ONE"), (14, "a b c"), (17, "A b C"), (20, "x " * 4000), (23, "x " * 3000), (None, "one"), (8, "one")]
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 4096 if least == 4 else 6)
+    monkeypatch.setattr(ngram_join, "TALLIED", 1 << 21 if least == 4 else 50)
+    rows = rows_of(1, 150) + [(0, None), (2, ""), (5, " \n "), (8, "one"), (11, "ONE"), (14, "a b c"), (17, "A b C"), (20, "x " * 4000), (23, "x " * 3000), (None, "one"), (8, "one"), (1, rows_of(1, 2)[1][1])]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, n int, gram string")
     assert sorted(tuple(r) for r in ngram_join.components_of(df).collect()) == brute(rows)
 
