@@ -180,6 +180,7 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declare
     priors = hosts.join(suffixes, "__suffix").withColumn("__prior", smoothed("n_host", F.col("p_suffix"))).select("__suffix", "__host", "__prior")
     rows = rows.join(priors, ["__suffix", "__host"]).select(*given.columns, "__text", "__declared", "__suffix", "__path", "__prior")
     schema = given.select("*", F.lit("").alias("language"), F.lit(0.0).alias("posterior")).schema
+    schema["language"].nullable = True
     return rows.mapInArrow(_identify(spark.sparkContext.broadcast(model)), schema)
 
 

@@ -22,9 +22,9 @@ from . import common, shingles
 FITTED = 8192
 BITS = 18
 #: Rounds of the fit, and the strength of the pull of weights to zero.
-ROUNDS, RIDGE = 150, 0.02
+ROUNDS, RIDGE = 400, 0.02
 #: A document is selected where P(grade >= TOP) reaches LEAST_TAIL.
-TOP, LEAST_TAIL = 2, 0.25
+TOP, LEAST_TAIL = 2, 0.5
 
 WORD_BREAKS = np.array([not (0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0x80) for b in range(256)])
 MARK_BREAKS = np.array([not (0x21 <= b < 0x7F) for b in range(256)]) | ~WORD_BREAKS
@@ -108,8 +108,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """One grade a labelled document: 0 poor, 1 good but toxic, 2 good. Of repeated labels the lowest counts."""
-    grade = F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).otherwise(2)
+    """One grade a labelled document: 0 toxic, 1 poor, 2 good. Of repeated labels the lowest counts."""
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") < 1, 1).otherwise(2)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).cast("int").alias("grade"))
 
