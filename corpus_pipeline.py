@@ -1,11 +1,62 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""From documents to token ids: language ID, quality, near duplicates, mixing, SentencePiece.
 
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns the columns of documents; the last one returns token ids. No stage
+drops a row but those it decides against; rows without doc_id pass the
+near-duplicate stage, which can't name them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from forkscope.llm import common, langid, mixing, ngram_join, quality, sentencepiece
+
+#: Its stages fit models, find components and plan schedules; SQL has no form of them.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined stay."""
+    return langid.identified(docs, host="source").where(langid.accepted()).select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likely to have the top grade stay."""
+    return quality.scored(docs, common.table(spark, sf_dir, "labels")).where(quality.selected()).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays, once."""
+    first = ngram_join.components_of(docs).where("doc_id = component_id").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.join(first, "doc_id").withColumn("__once", once).where("__once = 1").select(*docs.columns)
+    return kept.union(docs.where("doc_id IS NULL"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of their place in the mixture."""
+    rows = mixing.mixed(docs)
+    return rows.repartitionByRange(common.partitions(spark), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the check that they decode to its text."""
+    return sentencepiece.encoded(docs, sentencepiece.default_path(), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mixing_sources", mixing_sources),
+    ("sentencepiece", sentencepiece_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, langid, mixing, ngram_join, quality, topk, wavelet
+from . import fingerprint, html_extract, langid, licenses, mixing, ngram_join, quality, sentencepiece, topk, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_language_id": langid.op8_language_id,
         "op9_quality": quality.op9_quality,
+        "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+        "op6_license_scan": licenses.op6_license_scan,
         "op4_token_ids": wavelet.op4_token_ids,
     }
 
