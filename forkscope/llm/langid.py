@@ -23,6 +23,8 @@ LANGUAGES, FITTED = 64, 1000
 CELLS = 1 << 16
 #: Weight of a 4-gram, pseudo-count of a cell, of a level of the host prior, error rate of a declaration, and factor of an address hint.
 TEMPER, PSEUDO, LEVEL, WRONG, HINT = 0.25, 0.5, 10.0, 0.05, 4.0
+#: Hosts whose priors are sent to all tasks at most; beyond that rows are joined by salted host.
+SENT_HOSTS, SALTS = 100_000, 64
 #: A posterior below this leaves the language undetermined.
 LEAST_POSTERIOR = 0.5
 # Country suffixes by language.
@@ -102,8 +104,11 @@ def fitted(docs: DataFrame, key: str) -> Model:
     languages = sorted(r.declared for r in known)
     if not languages:
         return Model([], np.zeros((0, CELLS)))
+    # Twice the ids wanted of each language, by their hash; the exact choice is then made among few.
+    part = F.xxhash64(key).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    share = F.create_map(*[F.lit(x) for r in known for x in (r.declared, min(1.0, (2 * FITTED + 100) / r.n))])
     rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64(key), key))
-    chosen = docs.where(F.col("declared").isin(languages)).select(key, "declared").withColumn("r", rank).where(F.col("r") <= FITTED)
+    chosen = docs.where(F.col("declared").isin(languages)).where(part <= F.try_element_at(share, F.col("declared"))).select(key, "declared").withColumn("r", rank).where(F.col("r") <= FITTED)
     # LANGUAGES * FITTED ids at most.
     sample = docs.join(F.broadcast(chosen.select(key, "declared").distinct()), [key, "declared"]).select("text", "declared")
     got = sample.mapInArrow(_counted(languages), "language int, cell int, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toArrow()
@@ -178,7 +183,14 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declare
     base = F.array(*[F.lit((x + 1) / (sum(overall) + len(names))) for x in overall]) if names else F.array().cast("array<double>")
     suffixes = suffixes.withColumn("p_suffix", smoothed("n_suffix", base)).select("__suffix", "p_suffix")
     priors = hosts.join(suffixes, "__suffix").withColumn("__prior", smoothed("n_host", F.col("p_suffix"))).select("__suffix", "__host", "__prior")
-    rows = rows.join(priors, ["__suffix", "__host"]).select(*given.columns, "__text", "__declared", "__suffix", "__path", "__prior")
+    priors = common.stored(priors, "priors")
+    if priors.count() <= SENT_HOSTS:
+        rows = rows.join(F.broadcast(priors), ["__suffix", "__host"])
+    else:
+        salt = F.pmod(F.xxhash64(key, "__text"), F.lit(SALTS).cast("long"))
+        many = priors.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.withColumn("__salt", salt).join(many, ["__suffix", "__host", "__salt"])
+    rows = rows.select(*given.columns, "__text", "__declared", "__suffix", "__path", "__prior")
     schema = given.select("*", F.lit("").alias("language"), F.lit(0.0).alias("posterior")).schema
     schema["language"].nullable = True
     return rows.mapInArrow(_identify(spark.sparkContext.broadcast(model)), schema)

@@ -54,6 +54,19 @@ def brute(rows, languages, model):
     return out
 
 
+def test_many_hosts_and_a_bounded_fit(spark, monkeypatch):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    want = sorted(tuple(r) for r in langid.identified(docs, host="source").collect())
+    monkeypatch.setattr(langid, "SENT_HOSTS", 3)
+    assert sorted(tuple(r) for r in langid.identified(docs, host="source").collect()) == want
+    table = docs.selectExpr("doc_id", "text", "lang AS declared")
+    monkeypatch.setattr(langid, "FITTED", 5)
+    few = langid.fitted(table, "doc_id")
+    monkeypatch.setattr(langid, "FITTED", 10**6)
+    every = langid.fitted(table, "doc_id")
+    assert few.languages == every.languages and (few.table != every.table).any()
+
+
 def test_query(spark):
     docs = [tuple(r) for r in common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang", "source").collect()]
     table = spark.createDataFrame([(i, t, d) for i, t, d, _ in docs], "doc_id long, text string, declared string")
