@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once, about; a longer text is hashed by itself.
-SLICE_BYTES, ROWS = 2 << 20, 128
+SLICE_BYTES, ROWS = 1 << 20, 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -42,7 +42,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(22, n.bit_length()))
+    return _powers(1 << max(21, n.bit_length()))
 
 
 def words(texts: list[bytes], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
