@@ -36,6 +36,11 @@ FURNITURE = frozenset(
     ).split()
 )
 CONTENT = frozenset("article content main post entry story body text page hentry postcontent maincontent articlebody".split())
+#: Parts of compound names that always tell readers' comments, and first parts that tell the layout around something.
+REPLIES = frozenset("comment comments commentlist disqus reply replies".split())
+WRAPS = frozenset("has no with without is".split())
+#: An element with so large a share of the page's text is kept in spite of a compound name.
+LARGE = 0.6
 #: An open element of the second kind ends where one of the first begins.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 #: The search for such an element stops at these.
@@ -133,10 +138,10 @@ def parse(html: str) -> Element:
     return root
 
 
-def _furniture(e: Element, inside: bool) -> bool:
-    """Whether an element goes with all that is in it. inside: within an article or main element."""
+def _furniture(e: Element, inside: bool, large: bool) -> bool:
+    """Whether an element goes with all that is in it. inside: within an article or main element; large: it holds most of the page's text."""
     if e.name in DROPPED:
-        return True
+        return not (large and e.name in ("form", "fieldset"))
     if e.name == "header" and not inside:
         return True
     if not e.attributes or "=" not in e.attributes and "hidden" not in e.attributes:
@@ -147,9 +152,15 @@ def _furniture(e: Element, inside: bool) -> bool:
     if e.name in ("html", "body", "main") or e.name == "article" and not inside:
         return False
     names = f"{given.get('class', '')} {given.get('id', '')}".split()
-    if any("".join(WORD.findall(x)).lower() in CONTENT for x in names):
+    if any(x.lower() in FURNITURE for x in names):
+        return True
+    parts = [[w.lower() for w in WORD.findall(x)] for x in names]
+    parts = [p for p in parts if p and p[0] not in WRAPS]
+    if any(w in REPLIES for p in parts for w in p):
+        return True
+    if large or any("".join(p) in CONTENT for p in parts):
         return False
-    return any(w.lower() in FURNITURE for x in names for w in WORD.findall(x))
+    return any(w in FURNITURE for p in parts for w in p)
 
 
 def _holds_article(e: Element) -> bool:
@@ -164,8 +175,25 @@ def _holds_article(e: Element) -> bool:
     return False
 
 
+def _sizes(root: Element) -> int:
+    """Sets the text size of every element, what never counts left out; returns the root's."""
+    order, waiting = [], [root]
+    while waiting:
+        e = waiting.pop()
+        order.append(e)
+        waiting += [c for c in e.children if not isinstance(c, str)]
+    for e in reversed(order):
+        if e.name not in RAW:
+            e.size = sum(len(c.strip()) if isinstance(c, str) else c.size for c in e.children)
+        given = e.attributes and e.attribute_map() if "main" in e.attributes or "articleBody" in e.attributes else {}
+        if given.get("role") == "main" or given.get("itemprop") == "articleBody":
+            e.name = "main"
+    return root.size
+
+
 def _pruned(root: Element) -> list[Element]:
     """Takes furniture out of the tree; returns what is left, parents first."""
+    total = _sizes(root)
     kept, waiting = [], [(root, False)]
     while waiting:
         e, inside = waiting.pop()
@@ -180,7 +208,7 @@ def _pruned(root: Element) -> list[Element]:
                 # An article's own header: its headings belong to the text.
                 c.children = [x for x in c.children if not isinstance(x, str) and re.fullmatch("h[1-6]", x.name)]
                 c.attributes = ""
-            if _furniture(c, within) and (c.name in DROPPED or within or not _holds_article(c)):
+            if _furniture(c, within, c.size > LARGE * total) and (c.name in DROPPED or within or not _holds_article(c)):
                 continue
             left.append(c)
             waiting.append((c, within))
@@ -204,6 +232,8 @@ def _text(roots: list[Element]) -> str:
 
 
 def _score(elements: list[Element]) -> None:
+    for e in elements:
+        e.size = 0
     for e in reversed(elements):  # children first
         for c in e.children:
             if isinstance(c, str):
@@ -238,7 +268,7 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     elements = _pruned(root)
     _score(elements)
-    places = [e for e in elements if e.name not in INLINE and e.name not in PARAGRAPHS and e.size]
+    places = [e for e in elements if e.name not in INLINE and (e.name not in PARAGRAPHS or e.name == "td" and any(not isinstance(c, str) and c.name == "p" for c in e.children)) and e.size]
     if not places:
         return _text([root])
     best = max(places, key=lambda e: e.points)  # of equal ones the outermost
@@ -259,7 +289,7 @@ def main_text(html: str | None) -> str:
         if isinstance(e, str):
             continue
         links = e.linked / e.size if e.size else 0
-        reads = e.name in PARAGRAPHS and e.name != "li" and (links < 0.25 if e.size >= 80 else links == 0)
+        reads = e.name in PARAGRAPHS and e.name not in ("li", "td") and (links < 0.25 if e.size >= 80 else links == 0)
         if e is best or e.points >= least or reads:
             kept.append(e)
     return _text(kept)

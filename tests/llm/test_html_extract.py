@@ -42,6 +42,12 @@ def test_query(spark):
         (f"<article><p>f<b>o</b>o<br>bar <i>x</i>\n\t y {P}</p></article><p hidden>{P}</p>", f"foo bar x y {P}"),
         (f"<article><p>{P}<a title=\"a>b\" href=x>link</a></p></article><div class", f"{P}link"),
         (f"<article><p>{P}</p><div style='display: none'>{P}</div><div role=complementary>{P}</div></article><script>never ended", P),
+        (f"<form id=all><div id=top class=menu><a href=/>x</a></div><div><p>{P}</p><p>{P}</p></div></form>", f"{P} {P}"),
+        (f"<table><tr><td><a href=/>Home</a> <a href=/b>Other</a></td><td><p>{P}</p><p>{P}</p></td></tr></table>", f"{P} {P}"),
+        (f"<div class='layout no-sidebar'><div role=main><h1>T</h1><p>{P}</p></div><div class='comment body'><p>{P}</p></div></div>", f"T {P}"),
+        (f"<div id=page-header-wrapper><div><h2>T</h2><p>{P}</p><p>{P}</p></div></div><div id=user-comments><p>{P}</p></div>", f"T {P} {P}"),
+        (f"<main><p>{P}</p><div class='alert alert-info'>Cookies!</div><div class=share><button>Like</button></div><ol class=commentlist><li>{P}</li></ol></main>", P),
+        (f"<div><div><a href=1>One</a> | <a href=2>Two</a></div><div><h1>T</h1><p>{P}</p><p>Yes.</p><blockquote>{P}</blockquote></div><div>(c) 2020</div></div>", f"T {P} Yes. {P}"),
         (f"<body><p>{P}</p><p>{P}</p><nav>{P}</nav></body>", f"{P} {P}"),
     ],
 )
