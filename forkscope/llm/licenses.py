@@ -139,6 +139,9 @@ class Scanner:
             if name in best and best[name][0] == 1.0:
                 continue
             lo = max(0, start - slack)
+            near = set(own[lo : start + len(t) + slack])
+            if sum(w in near for w in t) < self.least * len(t):  # no alignment can reach the least share
+                continue
             for a, b in ((start, start + len(t)), (lo, start + len(t) + slack)):
                 pairs = aligned(t, own[a:b])
                 share = len(pairs) / len(t)
