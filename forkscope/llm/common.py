@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import new_path, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.conf.get("forkscope.local.shared", None) is None:
-        spark.conf.set("forkscope.local.shared", "file://" + tempfile.mkdtemp(prefix="forkscope-shared-"))
-    return spark.conf.get("forkscope.local.shared")
+__all__ = ["new_path", "partitions", "remove", "stored", "table"]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_folder(spark)}/forkscope-{label}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -37,13 +18,5 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
