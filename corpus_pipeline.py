@@ -13,32 +13,45 @@ from pyspark.sql import functions as F
 
 from forkscope.llm import common, langid, mixing, ngram_join, quality, sentencepiece
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with its columns beyond OWN under names that no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in OWN else f"__kept_{i}") for i, c in enumerate(docs.columns)])
+
+
+def together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, from rows made of apart(docs)."""
+    return rows.select(*[F.col(c if c in OWN else f"__kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 #: Its stages fit models, find components and plan schedules; SQL has no form of them.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined stay."""
-    return langid.identified(docs, host="source").where(langid.accepted()).select(*docs.columns)
+    return together(langid.identified(apart(docs), host="source").where(langid.accepted()), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likely to have the top grade stay."""
-    return quality.scored(docs, common.table(spark, sf_dir, "labels")).where(quality.selected()).select(*docs.columns)
+    return together(quality.scored(apart(docs), common.table(spark, sf_dir, "labels")).where(quality.selected()), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, once."""
     first = ngram_join.components_of(docs).where("doc_id = component_id").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(first, "doc_id").withColumn("__once", once).where("__once = 1").select(*docs.columns)
-    return kept.union(docs.where("doc_id IS NULL"))
+    kept = apart(docs).join(first, "doc_id").withColumn("__once", once).where("__once = 1")
+    return together(kept, docs).union(docs.where("doc_id IS NULL"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of their place in the mixture."""
-    rows = mixing.mixed(docs)
-    return rows.repartitionByRange(common.partitions(spark), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    rows = mixing.mixed(apart(docs)).repartitionByRange(common.partitions(spark), "mix_position").sortWithinPartitions("mix_position")
+    return together(rows, docs)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

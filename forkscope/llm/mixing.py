@@ -80,10 +80,12 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source: s
     """docs with mix_source, mix_block (within its source), mix_slot and mix_position (0 to rows - 1).
 
     weights: relative target weight by source (missing ones, null among them
-    as a source of its own: rows ** POWER). Rows of a source come in the order
+    as a source of its own: rows ** POWER). Columns of docs by the new names
+    are replaced. Rows of a source come in the order
     of their key's hash. Repeated rows and rows without key are kept. No row is
     dropped or repeated: a source that runs out leaves its share to the others.
     """
+    docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
     spark, columns = docs.sparkSession, docs.columns
     docs = docs.withColumn("__s", _source(source))
     counts = docs.groupBy("__s").agg(F.count("*").alias("rows"))

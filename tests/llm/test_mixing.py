@@ -4,6 +4,8 @@ from fractions import Fraction
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from forkscope.llm import common, mixing
 
 
@@ -43,7 +45,7 @@ def check(rows, n):
 def test_rows_without_source_or_key_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CELL_ROWS", 20)
     rows = [(i % 200 if i % 9 else None, "ab"[i % 3 > 0] if i % 7 else None, i, "m") for i in range(500)] + [(1, "a", 1, "m")] * 5
-    df = spark.createDataFrame(rows, "doc_id long, source string, slot int, first string")
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot int, first string").withColumn("mix_slot", F.lit("old"))
     got = mixing.mixed(df, {"a": 3.0, "b": 1.0}).collect()
     check(got, 505)
     assert Counter((r.doc_id, r.source, r.slot, r["first"]) for r in got) == Counter(rows)

@@ -44,6 +44,16 @@ def test_near_duplicates_with_odd_rows(spark):
     assert sorted(((r.doc_id is None, r.doc_id) for r in got), key=str) == sorted([(False, 3), (False, 7), (False, 8), (True, None)], key=str)
 
 
+def test_columns_that_clash_with_the_operators(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS language", "*", "n_chars AS component_id", "doc_id + 1 AS mix_block", "'x' AS posterior", "doc_id AS ids")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r.language == r.doc_id == r.ids and r.component_id == r.n_chars and r.mix_block == r.doc_id + 1 and r.posterior == "x" for r in rows)
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES:
