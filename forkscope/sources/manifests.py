@@ -60,5 +60,11 @@ def manifest_lines(cases: DataFrame, columns: list[str]) -> DataFrame:
     return head.union(cases.select(F.concat_ws("\t", *columns).alias("value")))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def write_json(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)

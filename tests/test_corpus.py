@@ -73,6 +73,7 @@ def test_files_and_back(spark, tmp_path):
     (tmp_path / "m.tsv").write_text(lines)
     row = manifests.read_pairs(spark, str(tmp_path / "m.tsv")).first()
     assert row.case_id == "x" and native.parse_pack(bytes(row.child))[0]["content"] == b"2"
+    assert manifests.folder_bytes(spark, str(tmp_path)) == sum(f.stat().st_size for f in tmp_path.iterdir())
     entries = manifests.read_packs(spark, str(tmp_path / "b")).collect()
     assert [(bytes(e.path), bytes(e.content)) for e in entries] == [(b"f", b"1")]
     (tmp_path / "bad.tsv").write_text("x\ty\n")
