@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -307,20 +307,27 @@ def _under(e: Element, others: list[Element]) -> bool:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        rest, html = batch.drop_columns(["__html"]), batch.column("__html")
         for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            texts = [main_text(h) for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            texts = [main_text(h) for h in html.slice(at, 64).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rest.slice(at, 64).columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*rest.schema.names, "text", "n_chars"])
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html; others are ignored).
+def declared_language(html: Column) -> Column:
+    """The language that a page's root element declares; empty if none."""
+    return F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+
+
+def extracted(pages: DataFrame, **keep: Column) -> DataFrame:
+    """page_id, url, columns of `keep`, text, n_chars of every row of pages (page_id, url, html; others are ignored).
 
     A null or empty page has an empty text; null ids and addresses and repeated
     rows are passed on as they are.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    own = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), *[c.alias(k) for k, c in keep.items()]]
+    rows = pages.select(*own, F.col("html").cast("string").alias("__html"))
+    schema = rows.drop("__html").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    return rows.mapInArrow(_extract, schema)
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, html_extract, shingles
 
 #: Bounds of what is fitted: languages (the most declared ones), and documents of each, chosen by the hash of their id.
 LANGUAGES, FITTED = 64, 1000
@@ -204,3 +204,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from its text, its declared language and its source."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return identified(docs, host="source").select("doc_id", "lang", "language", "posterior", accepted().alias("accepted"))
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every page: from its main text, its markup's language, its address and its host."""
+    pages = common.table(spark, sf_dir, "pages")
+    rows = html_extract.extracted(pages, declared=html_extract.declared_language(F.col("html")))
+    # Stored once: the text is read by the fit and by the scoring.
+    rows = common.stored(rows, "pages")
+    return identified(rows, key="page_id", declared="declared", url="url").select("page_id", "url", "declared", "language", "posterior", accepted().alias("accepted"))

@@ -396,8 +396,10 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
 
     rows = common.stored(docs.mapInArrow(describe, "doc_id long, n long, one long, two long, prefix array<long>, marks binary"), "sets")
     key = ["n", "one", "two"]
-    classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first"))
-    first = common.stored(rows.join(classes.withColumnRenamed("first", "doc_id"), [*key, "doc_id"]), "classes")
+    # Only classes of several documents are joined back; a class of any size is counted with partial sums.
+    alike = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    known = rows.join(alike, key, "left").withColumn("node", F.coalesce("first", "doc_id"))
+    first = common.stored(known.where("n > 0 AND node = doc_id").select("doc_id", "n", "prefix", "marks"), "classes")
     grams = first.select("doc_id", F.explode("prefix").alias("gram"))
     # Buckets of the same documents are one: the number and the joint hash of a bucket's documents tell.
     met = grams.groupBy("gram").agg(F.count("*").alias("many"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"), F.sum(F.xxhash64("doc_id") % (1 << 31)).alias("total")).where("low <> high")
@@ -417,9 +419,7 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     found = links.where("NOT many").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
     if links.where("many").limit(1).count():
         found = found.union(components.connected(links.where("many").select("a", "b")))
-    known = rows.select("doc_id", *key).join(classes, key, "left")
-    start = F.coalesce("first", "doc_id")
-    return known.withColumn("node", start).join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return known.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

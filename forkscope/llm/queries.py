@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_language_id": langid.op8_language_id,
+        "page_language_id": langid.page_language_id,
         "op9_quality": quality.op9_quality,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
         "op6_license_scan": licenses.op6_license_scan,

@@ -22,6 +22,8 @@ from . import common
 
 #: Vectors of a cell at most (on average) and queries of a block.
 CELL_ROWS, QUERY_ROWS = 4096, 4096
+#: Groups of cells whose lists are merged first.
+PARTS = 256
 LISTS = 2
 LONG = 2**63 - 1
 
@@ -88,6 +90,7 @@ def _strips(q: pa.Table, v: pa.Table):
 def _gather(k: int):
     def gather(q: pa.Table, v: pa.Table) -> pa.Table:
         ids, lists = [], []
+        group = q["cell"][0].as_py() % PARTS if len(q) else 0
         if len(q) and len(v):
             for _, own, _, scores, same in _strips(q, v):
                 seen = np.zeros(same.shape, bool)
@@ -99,7 +102,7 @@ def _gather(k: int):
                 for i, part in enumerate(np.split(totals, np.cumsum(seen.sum(1))[:-1])):
                     ids.append(int(own[i]))
                     lists.append(sorted((_long(x) for x in part), reverse=True)[:k])
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "best": pa.array(lists, pa.list_(pa.int64()))})
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "part": pa.array([group] * len(ids), pa.int64()), "best": pa.array(lists, pa.list_(pa.int64()))})
 
     return gather
 
@@ -158,12 +161,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
     def dealt(side: DataFrame):
         return side.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell")).groupBy("cell", "block")
 
-    lists = dealt(queries).cogroup(candidates).applyInArrow(_gather(k), "query_id long, best array<long>")
+    lists = dealt(queries).cogroup(candidates).applyInArrow(_gather(k), "query_id long, part long, best array<long>")
+    # A list holds k totals at most. They are merged in two steps, so that no query gathers the lists of all cells at once.
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")
+    merged = lists.groupBy("query_id", "part").agg(top).groupBy("query_id").agg(top)
     # Short of k known totals there is no cutoff yet: every entry may answer.
-    kth = F.sort_array(F.flatten(F.collect_list("best")), asc=False)
-    cutoff = F.coalesce(F.get(kth, F.lit(k - 1)), F.lit(-LONG - 1))
-    # A cell's list holds k totals at most, so the lists of a query are k longs a cell.
-    cut = common.stored(lists.groupBy("query_id").agg(cutoff.alias("cutoff")), "cutoffs")
+    cutoff = F.coalesce(F.get("best", F.lit(k - 1)), F.lit(-LONG - 1))
+    cut = common.stored(merged.select("query_id", cutoff.alias("cutoff")), "cutoffs")
     found = dealt(queries.join(cut, "query_id")).cogroup(candidates).applyInArrow(_collect(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -101,3 +101,12 @@ def test_evidence_and_odd_rows(spark):
     assert langid.identified(df.limit(0)).collect() == []
     silent = langid.identified(df.drop("lang"), declared=None)
     assert {r.language for r in silent.collect()} == {None}
+
+
+def test_pages(spark):
+    pages = {r.page_id: r for r in common.table(spark, "/root/testdata/sf0.001", "pages").collect()}
+    got = langid.page_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert f'<html lang="{r.declared}">' in pages[r.page_id].html
+    assert sum(r.language == r.declared for r in got) / len(got) > 0.95
