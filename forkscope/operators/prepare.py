@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows with turn (0, 1, ... within its group) and place: one row of each group in turn, groups by first appearance.
@@ -12,10 +14,9 @@ def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     No sort of everything: turns are counted from the group sizes. A turn's
     first place is the number of rows in earlier turns, and within a turn a
     group comes after the groups that appeared before it and are large enough.
-    Both are sums over the table of groups; a group's rows are numbered in one task.
+    Both are sums over the table of groups, one row a repository.
     """
-    turn = (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long")
-    rows = rows.withColumn("turn", turn)
+    rows = ranked(rows, [group], [order], "turn")
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.min(order).alias("first"))
     table = sizes.orderBy("first").select("first", "size").collect()  # one row a repository
     firsts = F.array(*[F.struct(F.lit(g["first"]).alias("first"), F.lit(g["size"]).alias("size")) for g in table]) if table else F.array().cast("array<struct<first:bigint,size:bigint>>")
@@ -30,9 +31,8 @@ def selected(rows: DataFrame, selection: str, group: str, order: str, offset: in
         return rows.orderBy(order).offset(offset).limit(limit)
     if selection != "round-robin":
         raise ValueError(f"unknown selection {selection}")
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    first = F.min(order).over(Window.partitionBy(group))
-    return rows.withColumns({"turn": turn, "first": first}).orderBy("turn", "first").offset(offset).limit(limit).drop("turn", "first")
+    firsts = rows.groupBy(group).agg(F.min(order).alias("first"))
+    return ranked(rows, [group], [order], "turn").join(firsts, group).orderBy("turn", "first").offset(offset).limit(limit).drop("turn", "first")
 
 
 def by_path(entries: DataFrame, path: str, stage: str = "stage") -> DataFrame:

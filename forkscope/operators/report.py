@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """by and p<point> = sorted[floor((n - 1) * point / 100)], exact.
 
-    No group is gathered: values are counted, running counts give the ranks,
-    and the value that holds a wanted rank is taken. A window runs over the
-    distinct values of a group.
+    Values are counted, running counts give the ranks, and the value that holds
+    a wanted rank is taken. No group is gathered in a task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = counts.withColumns({"upto": F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("n").over(own)})
-    wanted = {p: F.floor((F.col("all") - 1) * p / 100) for p in points}
-    holds = lambda p: (F.col("upto") - F.col("n") <= wanted[p]) & (wanted[p] < F.col("upto"))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(holds(p), F.col(value))).alias(f"p{p}") for p in points])
+    places = running(counts, by, [value], "n", "__below")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("__all"))
+    rows = places.alias("p").join(totals.alias("t"), same) if by else places.withColumn("__all", F.lit(totals.first()["__all"]))
+    wanted = {p: F.floor((F.col("__all") - 1) * p / 100) for p in points}
+    holds = lambda p: (F.col("__below") <= wanted[p]) & (wanted[p] < F.col("__below") + F.col("n"))
+    keys = [F.col(f"p.{c}").alias(c) for c in by]
+    return rows.groupBy(*keys).agg(*[F.max(F.when(holds(p), F.col(value))).alias(f"p{p}") for p in points])
 
 
 def ratio(a: Column, b: Column, floor: float | None = None) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native, states
 from ..operators import checkpoints, corpus, dedup, pieces, prepare, report, versions
+from ..operators.ranks import ranked
 from ..sources import manifests
 from ..storage import new_path, stored
 from . import runner
@@ -131,10 +132,12 @@ def script_fold(spark, sf_dir):
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Every document after the first of its source is a version: its parent is an earlier one of the source, its edit inserts its first 40 characters."""
     docs = snapshots(spark, sf_dir).withColumn("text", F.col("state").cast("string"))
-    at = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
-    rows = docs.select("doc_id", "source", "text", "state", at.alias("k")).withColumn("up", F.when(F.col("k") > 0, (F.col("k") * 7919 % 10007) % F.col("k")))
-    ids = rows.select("source", F.col("k").alias("up"), F.col("doc_id").alias("parent_id"))
-    rows = rows.join(ids, ["source", "up"], "left").withColumn("root_id", F.min("doc_id").over(Window.partitionBy("source")))
+    ids = stored(ranked(docs.select("doc_id", "source"), ["source"], ["doc_id"], "k"), "ids")
+    ids = ids.withColumn("up", F.when(F.col("k") > 0, (F.col("k") * 7919 % 10007) % F.col("k")))
+    above = ids.select("source", F.col("k").alias("up"), F.col("doc_id").alias("parent_id"))
+    roots = ids.where("k = 0").select("source", F.col("doc_id").alias("root_id"))
+    ids = ids.join(above, ["source", "up"], "left").join(roots, "source").select("doc_id", "parent_id", "root_id")
+    rows = docs.join(ids, "doc_id")
     start, size = F.col("doc_id") * 131 % 64, F.col("doc_id") % 11
     return {
         "version": rows.select(F.col("doc_id").alias("version_id"), "parent_id", "root_id"),
@@ -274,8 +277,11 @@ def chunk_lookup(spark, sf_dir):
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, base, child: each document against the one before it in its source."""
-    before = F.lag("state").over(Window.partitionBy("source").orderBy("doc_id"))
-    return snapshots(spark, sf_dir).select("doc_id", before.alias("base"), F.col("state").alias("child")).where("base IS NOT NULL")
+    docs = snapshots(spark, sf_dir).select("doc_id", "source", "state")
+    ids = ranked(docs.select("doc_id", "source"), ["source"], ["doc_id"], "k")
+    pairs = ids.join(ids.select("source", (F.col("k") + 1).alias("k"), F.col("doc_id").alias("before")), ["source", "k"]).select("doc_id", "before")
+    children = pairs.join(docs.select("doc_id", F.col("state").alias("child")), "doc_id")
+    return children.join(docs.select(F.col("doc_id").alias("before"), F.col("state").alias("base")), "before").select("doc_id", "base", "child")
 
 
 NEIGHBOURS = DOCS + ", p AS (SELECT doc_id, lag(state) OVER (PARTITION BY source ORDER BY doc_id) AS base, state AS child FROM d), q AS (SELECT * FROM p WHERE base IS NOT NULL)"
@@ -452,7 +458,7 @@ def safe_names(spark, sf_dir):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY encode(c_name), c_custkey) - 1 AS place FROM customer")
 def path_order(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("path"))
-    return prepare.by_path(rows, "path").select("c_custkey", (F.row_number().over(Window.orderBy("path", "c_custkey")) - 1).cast("long").alias("place"))
+    return ranked(prepare.by_path(rows, "path"), [], ["path", "c_custkey"], "place").select("c_custkey", "place")
 
 
 @query("SELECT source, min(doc_id) AS first FROM documents GROUP BY source")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from forkscope.functions import native, states
 from forkscope.operators import corpus, dedup, prepare
+from forkscope.operators.ranks import ranked
 from forkscope.plans import runner
 from forkscope.sources import manifests
 
@@ -94,6 +95,18 @@ def test_packs_of_rows(spark):
     assert [(e["path"], e["kind"], e["mode"], e["content"]) for e in entries] == [(b"a", 2, 6, b"1"), (b"b", 1, 5, b"2")]
 
 
+def test_ranks_over_many_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot", "hot", "b", None, ""]), rng.random()) for i in range(400)]
+    got = ranked(spark.createDataFrame(rows, "i long, g string, v double"), ["g"], ["v"]).collect()
+    want = {}
+    for i, g, _ in sorted(rows, key=lambda r: r[2]):
+        want[i] = sum(1 for x in want if rows[x][1] == g)
+    assert {r.i: r["rank"] for r in got} == want
+    every = ranked(spark.createDataFrame(rows, "i long, g string, v double"), [], ["v"], "p").collect()
+    assert [r.i for r in sorted(every, key=lambda r: r.p)] == [i for i, _, _ in sorted(rows, key=lambda r: r[2])]
+
+
 def test_round_robin(spark):
     rows = [(i, r) for i, r in enumerate("aabacab")]
     df = spark.createDataFrame(rows, "pos long, repo string")
