@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import new_path, stored
 
-__all__ = ["new_path", "partitions", "remove", "stored", "table"]
+__all__ = ["modest_batches", "new_path", "partitions", "remove", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +20,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch of whole texts at most; Spark bounds its bytes besides.
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS: a batch of texts is held by the JVM and by a Python worker at the same time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

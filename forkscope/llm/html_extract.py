@@ -324,6 +324,7 @@ def extracted(pages: DataFrame, **keep: Column) -> DataFrame:
     A null or empty page has an empty text; null ids and addresses and repeated
     rows are passed on as they are.
     """
+    common.modest_batches(pages.sparkSession)
     own = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), *[c.alias(k) for k, c in keep.items()]]
     rows = pages.select(*own, F.col("html").cast("string").alias("__html"))
     schema = rows.drop("__html").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema

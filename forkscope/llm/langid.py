@@ -161,6 +161,7 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declare
     null host shares one prior). Repeated rows are judged alike; all rows stay.
     """
     spark = docs.sparkSession
+    common.modest_batches(spark)
     given = docs.drop("language", "posterior")
     address = F.coalesce(F.col(url), F.lit("")) if url else F.lit("")
     own = F.coalesce(F.col(host).cast("string"), F.lit("")) if host else host_of(address)

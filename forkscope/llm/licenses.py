@@ -167,6 +167,7 @@ def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     Words are runs of ASCII letters and digits in lower case. A null or empty
     text has no license; all rows stay, repeated ones alike.
     """
+    common.modest_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     more = "license string, coverage double, first_word long, last_word long, licenses array<string>"
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -151,6 +151,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     Both are null where the labelled documents hold fewer than two grades. A
     null text counts as empty. All rows stay, repeated ones alike.
     """
+    common.modest_batches(docs.sparkSession)
     model = Ordinal.fitted(*sample(docs.withColumn("text", F.col(text)), grades(labels)))
     given = docs.drop("expected_grade", "tail_probability")
     schema = given.select("*", F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability")).schema

@@ -31,7 +31,7 @@ FOREIGN = 0x110000
 #: What a character without piece costs beyond the worst piece.
 UNKNOWN_COST = 10.0
 #: Words that a worker remembers, and cells of a batch of equally long words.
-REMEMBERED, BATCH_CELLS = 1 << 19, 1 << 20
+REMEMBERED, BATCH_CELLS = 1 << 18, 1 << 19
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,6 +191,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     A null text counts as empty and has no ids; all rows stay, repeated ones alike.
     """
+    common.modest_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     more = [F.lit(0).cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("round_trip")]
     more += [F.array().cast("array<int>").alias("ids")] if with_ids else []

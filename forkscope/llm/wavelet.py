@@ -312,6 +312,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vo
     executor is lost; each row is one self-contained compressed shard.
     """
     spark = docs.sparkSession
+    common.modest_batches(spark)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
