@@ -30,7 +30,7 @@ WORDS, PERCENT = 4, 85
 #: Shingles that two blocks of a group hold together, about.
 GROUP_SHINGLES = 4_000_000
 #: What comes up so often in one task is counted over all tasks; the order knows the most frequent words and n-grams.
-LOCAL_LEAST, FREQUENT, TALLIED = 4, 1 << 17, 1 << 21
+LOCAL_LEAST, FREQUENT, TALLIED = 4, 1 << 17, 1 << 20
 #: Least number of bits of a set's parity marks, and documents of an n-gram that are compared at once.
 MARKS, BUCKET_ROWS = 1024, 4096
 
@@ -384,6 +384,7 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     that repeat a doc_id are all returned and count as linked to each other.
     """
     spark = docs.sparkSession
+    common.modest_batches(spark)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = common.stored(docs.select("text").mapInArrow(_counted(size), "word boolean, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n")), "counts")
     # FREQUENT pairs of numbers each at most; what is not among them still has its place in the order.
@@ -396,9 +397,11 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
 
     rows = common.stored(docs.mapInArrow(describe, "doc_id long, n long, one long, two long, prefix array<long>, marks binary"), "sets")
     key = ["n", "one", "two"]
-    # Only classes of several documents are joined back; a class of any size is counted with partial sums.
+    # Only classes of several documents are joined back; a class of any size is counted with partial sums. Stored, and
+    # joined by merging at every size, both sides are dealt out anew and the rows of a large class may be split.
     alike = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    known = rows.join(alike, key, "left").withColumn("node", F.coalesce("first", "doc_id"))
+    alike = common.stored(alike, "alike")
+    known = rows.join(alike.hint("merge"), key, "left").withColumn("node", F.coalesce("first", "doc_id"))
     first = common.stored(known.where("n > 0 AND node = doc_id").select("doc_id", "n", "prefix", "marks"), "classes")
     grams = first.select("doc_id", F.explode("prefix").alias("gram"))
     # Buckets of the same documents are one: the number and the joint hash of a bucket's documents tell.
