@@ -179,6 +179,41 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class Words(dict):
+    """Ids of words, each encoded by the library when it first comes up."""
+
+    def __init__(self, library):
+        self.library, self.run = library, library.model.tokenize
+        self.letters = _byte_letters()
+        self.packed = [struct.pack("<I", i) for i in range(library.get_vocab_size())]
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A run of Latin letters is one token of the splitting pattern and goes straight to the library's merges; so is punctuation after it."""
+        core = word.rstrip(MARKS)
+        if core.isalpha():  # ASCII
+            text = core.decode()
+        else:
+            text = core.decode().lower()
+            if not text.isalpha() or max(text) >= "\u0250":
+                self[word] = got = self.whole([word])[0]
+                return got
+            text = text.encode().decode("latin-1").translate(self.letters)
+        got = self.get(core)
+        if got is None:
+            packed = self.packed
+            self[core] = got = b"".join([packed[t.id] for t in self.run(text)])
+        if len(core) < len(word):
+            end = word[len(core) :]
+            tail = self.get(end)
+            if tail is None:
+                self[end] = tail = self.whole([end])[0]
+            self[word] = got = got + tail
+        return got
+
+
 class Encoder:
     """encode(text) of the tokenizers library without special tokens.
 
@@ -196,41 +231,8 @@ class Encoder:
         rules = json.loads(self.library.to_str())
         pre = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_word = (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(pre) == 2 and pre[0].get("pattern") == {"Regex": SPLIT} and pre[1]["type"] == "ByteLevel" and all(t["content"].startswith("<|") for t in rules["added_tokens"])
-        self.known: dict[bytes, bytes] = {}
-        self.letters = _byte_letters()
-        self.packed = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
-        self.ends: dict[bytes, bytes] = {}
-
-    def whole(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(got.ids, "<u4").tobytes() for got in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """A run of Latin letters is one token of the splitting pattern and goes straight to the library's merges; so is punctuation after it."""
-        known, rest, run, packed, ends = self.known, [], self.library.model.tokenize, self.packed, self.ends
-        for word in words.difference(known):
-            core = word.rstrip(MARKS)
-            got = known.get(core)
-            if got is None:
-                text = core.decode()
-                if not text.isascii():
-                    text = text.lower()
-                    if max(text) >= "\u0250" or not text.isalpha():
-                        rest.append(word)
-                        continue
-                    text = text.encode().decode("latin-1").translate(self.letters)
-                elif not text.isalpha():
-                    rest.append(word)
-                    continue
-                known[core] = got = b"".join([packed[t.id] for t in run(text)])
-            elif not core.isalpha() and not core.decode().isalpha():
-                rest.append(word)
-                continue
-            if len(core) < len(word):
-                end = word[len(core) :]
-                if end not in ends:
-                    ends[end] = self.whole([end])[0]
-                known[word] = got + ends[end]
-        known.update(zip(rest, self.whole(rest), strict=True))
+        self.known = Words(self.library)
+        self.whole = self.known.whole
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -238,11 +240,8 @@ class Encoder:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.ends.clear()
-        words = [None if b"<|" in t else t.lower().split() for t in texts]
-        self.learn(set().union(*filter(None, words)))
         get = self.known.__getitem__
-        return [self.whole([t])[0] if each is None else b"".join(map(get, each)) for t, each in zip(texts, words, strict=True)]
+        return [self.whole([t])[0] if b"<|" in t else b"".join(map(get, t.lower().split())) for t in texts]
 
 
 @lru_cache(1)
