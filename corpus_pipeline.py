@@ -26,6 +26,9 @@ def together(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c if c in OWN else f"__kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+#: The near-duplicate stage links texts by five-word shingles at a Jaccard similarity of 80 % or more; op2_ngram_join has a rule of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 #: Its stages fit models, find components and plan schedules; SQL has no form of them.
 ORACLE_SQL = None
 
@@ -42,7 +45,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, once."""
-    first = ngram_join.components_of(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = ngram_join.components_of(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     kept = apart(docs).join(first, "doc_id").withColumn("__once", once).where("__once = 1")
     return together(kept, docs).union(docs.where("doc_id IS NULL"))

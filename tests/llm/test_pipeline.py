@@ -44,6 +44,21 @@ def test_near_duplicates_with_odd_rows(spark):
     assert sorted(((r.doc_id is None, r.doc_id) for r in got), key=str) == sorted([(False, 3), (False, 7), (False, 8), (True, None)], key=str)
 
 
+def test_near_duplicates_by_five_words_and_80_percent(spark):
+    words = [f"w{i}" for i in range(454)]  # 450 five-word shingles
+
+    def edited(n):
+        return " ".join("x" * (i // 40 + 1) if i % 40 == 20 and i // 40 < n else w for i, w in enumerate(words))
+
+    def kept(n):
+        rows = [(1, " ".join(words), "en", "s", 1), (2, edited(n), "en", "s", 1)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        return [r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+
+    # 400 shingles of 500 are shared after ten edits (411 of 491 by four words), 395 of 505 after eleven.
+    assert kept(10) == [1] and sorted(kept(11)) == [1, 2]
+
+
 def test_columns_that_clash_with_the_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS language", "*", "n_chars AS component_id", "doc_id + 1 AS mix_block", "'x' AS posterior", "doc_id AS ids")
     for _, stage in pipeline.STAGES[:-1]:
