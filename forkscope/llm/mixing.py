@@ -12,6 +12,13 @@ The schedule is planned on the driver from the sources' row counts, over
 MAX_BLOCKS blocks and a few at most whatever the number of rows: blocks grow
 with the table. Rows are ranked within their source in hashed cells of about
 CELL_ROWS, so no source, however large, meets in one task.
+
+With more sources than SINGLE, those beyond the largest that have no target
+weight are planned in two levels. Sources of about the same size form a group,
+which has the sum of their weights; they begin and run out together. Within a
+group row i of a source lies in the virtual time window (i, i + 1) / weight,
+and the rows go by that time, so a source is about two rows away from its
+share of its group at most.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_BLOCKS, LEAST_BLOCK_ROWS, CELL_ROWS = 1 << 16, 16, 4096
-#: Sources that are scheduled singly, largest first; smaller ones share pools by hash.
+#: Sources that are planned singly, largest first, besides those with a target weight; and groups of the others, by their size.
 SINGLE, POOLS = 1024, 256
 #: Weight of a source without target: its rows to this power.
 POWER = 0.5
@@ -39,8 +46,13 @@ def windows(blocks: list[int], weights: list[int]) -> list[list[tuple[int, int]]
     ends = sorted({Fraction(n, w) for n, w in zip(blocks, weights, strict=True) if n})
     # Piecewise linear time: up to virtual time ends[j], slots pass at the joint weight of the sources not yet out.
     times, rates, at, t = [Fraction(0)], [], Fraction(0), Fraction(0)
+    out_at: dict[Fraction, int] = {}
+    for n, w in zip(blocks, weights, strict=True):
+        out_at[Fraction(n, w)] = out_at.get(Fraction(n, w), 0) + (w if n else 0)
+    left = sum(out_at.values())
     for end in ends:
-        rates.append(sum(w for n, w in zip(blocks, weights, strict=True) if n and Fraction(n, w) >= end))
+        rates.append(left)
+        left -= out_at[end]
         t += rates[-1] * (end - at)
         times.append(t)
         at = end
@@ -76,31 +88,80 @@ def _source(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
+def grouped(sizes: list[int], most: int) -> list[int]:
+    """Least size of each group of about equal sizes: every size by itself if that makes no more groups than `most`."""
+    ratio = 1.0
+    while True:
+        firsts: list[int] = []
+        for n in sorted(sizes):
+            if not firsts or n > firsts[-1] * ratio:
+                firsts.append(n)
+        if len(firsts) <= most:
+            return firsts
+        ratio *= 1.01
+
+
+def _ranked(docs: DataFrame, key: str) -> DataFrame:
+    """docs (with __s, __h and cells, the number of cells of __s) with __r, the row's place in its __s by __h; without cells."""
+    part = F.least(F.floor((F.col("__h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("cells")), F.col("cells") - 1)
+    docs = docs.withColumn("__c", part.cast("long")).drop("cells")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = docs.groupBy("__s", "__c").agg(F.count("*").alias("n")).select("__s", "__c", before.alias("offset"))
+    docs = docs.join(offsets, ["__s", "__c"])
+    rank = F.row_number().over(Window.partitionBy("__s", "__c").orderBy("__h", key)) - 1 + F.col("offset")
+    return docs.withColumn("__r", rank.cast("long")).drop("__c", "offset")
+
+
+def _in_groups(docs: DataFrame, counts: DataFrame, firsts: list[int], lasts: list[int], key: str) -> DataFrame:
+    """docs with __s, the group of their source, and __h, their time in it, from that of its begin to that of its end."""
+    rows = F.col("__rows")
+    sizes = counts.select("__s", F.col("rows").alias("__rows"), F.ceil(F.col("rows") / F.lit(CELL_ROWS)).alias("cells"))
+    docs = _ranked(docs.join(sizes, "__s"), key)
+    # Any number from 0 to 1 spreads the sources of a group over each window.
+    within = F.pmod(F.xxhash64("__s", F.lit(1)), F.lit(1 << 20).cast("long")) / F.lit(float(1 << 20))
+    group = F.size(F.filter(F.array(*[F.lit(n).cast("long") for n in firsts]), lambda n: n <= rows)) - 1
+    last = F.element_at(F.array(*[F.lit(float(n)) for n in lasts]), group + 1)
+    time = (F.col("__r") + within) / F.pow(rows, F.lit(POWER)) / F.pow(last, F.lit(1 - POWER))
+    h = ((time - F.lit(0.5)) * F.lit(2.0**64)).cast("long")
+    return docs.withColumn("__h", h).withColumn("__s", F.concat(F.lit("#"), group)).drop("__rows", "__r")
+
+
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """docs with mix_source, mix_block (within its source), mix_slot and mix_position (0 to rows - 1).
 
     weights: relative target weight by source (missing ones, null among them
     as a source of its own: rows ** POWER). Columns of docs by the new names
     are replaced. Rows of a source come in the order
-    of their key's hash. Repeated rows and rows without key are kept. No row is
+    of their key's hash. Beyond SINGLE sources those without target weight may
+    be planned in groups: mix_source is then the group and mix_block counts
+    within it, and the rows of its sources take turns by their own weights. Repeated rows and rows without key are kept. No row is
     dropped or repeated: a source that runs out leaves its share to the others.
     """
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
     spark, columns = docs.sparkSession, docs.columns
-    docs = docs.withColumn("__s", _source(source))
+    h = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*columns))
+    docs = docs.withColumn("__s", _source(source)).withColumn("__h", h)
+    given = {f"={k}": float(v) for k, v in (weights or {}).items()}
     counts = docs.groupBy("__s").agg(F.count("*").alias("rows"))
     top = counts.orderBy(F.desc("rows"), "__s").limit(SINGLE + 1).collect()
+    found = {r["__s"]: (r["rows"], given.get(r["__s"], r["rows"] ** POWER)) for r in top[:SINGLE]}
     if len(top) > SINGLE:
-        kept = [r["__s"] for r in top[:SINGLE]]
-        known = spark.createDataFrame([(x, x) for x in kept], "__s string, single string")
-        pool = F.concat(F.lit("#"), F.pmod(F.xxhash64("__s"), F.lit(POOLS).cast("long")))
-        docs = docs.join(F.broadcast(known), "__s", "left").withColumn("__s", F.coalesce("single", pool)).drop("single")
-        top = docs.groupBy("__s").agg(F.count("*").alias("rows")).collect()
-    names, rows = zip(*sorted((r["__s"], r["rows"]) for r in top), strict=True) if top else ((), ())
+        found |= {r["__s"]: (r["rows"], given[r["__s"]]) for r in counts.where(F.col("__s").isin(list(given))).collect()}
+        known = F.broadcast(spark.createDataFrame([(x,) for x in found], "__s string"))
+        others = counts.join(known, "__s", "left_anti")
+        # One row a size: about the square root of twice the table's rows at most.
+        sizes = sorted((r["rows"], r["n"]) for r in others.groupBy("rows").agg(F.count("*").alias("n")).collect())
+        firsts = grouped([n for n, _ in sizes], POOLS)
+        if firsts:
+            members = [[(n, k) for n, k in sizes if a <= n < b] for a, b in zip(firsts, [*firsts[1:], float("inf")], strict=True)]
+            found |= {f"#{i}": (sum(n * k for n, k in each), sum(n**POWER * k for n, k in each)) for i, each in enumerate(members)}
+            apart = _in_groups(docs.join(known, "__s", "left_anti"), others, firsts, [each[-1][0] for each in members], key)
+            docs = docs.join(known, "__s").unionByName(apart)
+    names = sorted(found)
+    rows = [found[s][0] for s in names]
     size = max(LEAST_BLOCK_ROWS, -(-sum(rows) // max_blocks))
     blocks = [-(-n // size) for n in rows]
-    given = {f"={k}": v for k, v in (weights or {}).items()}
-    shares = [max(0.0, float(given.get(s, n**POWER))) for s, n in zip(names, rows, strict=True)]
+    shares = [max(0.0, float(found[s][1])) for s in names]
     whole = [max(1, round(x / (max(shares, default=1) or 1) * (1 << 20))) for x in shares]
     slots = schedule(blocks, whole)
     sizes = sorted((slot, min(size, n - i * size), s, i) for s, (each, n) in enumerate(zip(slots, rows, strict=True)) for i, slot in enumerate(each))
@@ -114,14 +175,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source: s
     cells = F.broadcast(planned.select("__s", "cells"))
     places = planned.select("__s", F.posexplode("blocks").alias("block", "place")).select("__s", F.col("block").cast("long").alias("__b"), F.col("place.slot").alias("__slot"), F.col("place.first").alias("__first"))
 
-    h = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*columns))
-    part = F.least(F.floor((F.col("__h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("cells")), F.col("cells") - 1)
-    docs = docs.withColumn("__h", h).join(cells, "__s").withColumn("__c", part.cast("long")).drop("cells")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = docs.groupBy("__s", "__c").agg(F.count("*").alias("n")).select("__s", "__c", before.alias("offset"))
-    docs = docs.join(offsets, ["__s", "__c"])
-    rank = F.row_number().over(Window.partitionBy("__s", "__c").orderBy("__h", key)) - 1 + F.col("offset")
-    docs = docs.withColumn("__r", rank.cast("long")).withColumn("__b", F.expr(f"__r div {size}L"))
+    docs = _ranked(docs.join(cells, "__s"), key).withColumn("__b", F.expr(f"__r div {size}L"))
     docs = docs.join(F.broadcast(places), ["__s", "__b"])
     return docs.select(*columns, F.col("__s").alias("mix_source"), F.col("__b").alias("mix_block"), F.col("__slot").alias("mix_slot"), (F.col("__first") + F.col("__r") % size).alias("mix_position"))
 

@@ -62,6 +62,42 @@ def test_many_sources_share_pools(spark, monkeypatch):
     assert len({r.mix_source for r in got}) <= 8
 
 
+def test_every_source_keeps_its_weight_beyond_the_largest(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SINGLE", 2)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    sizes = {"a": 900, "b": 800, "w": 300} | {f"s{i:02}": (40, 90)[i % 2] for i in range(30)}
+    rows = [(s, i) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(k, s) for k, (s, _) in enumerate(rows)], "doc_id long, source string")
+    weights = {"w": 400.0}
+    got = sorted(mixing.mixed(df, weights).collect(), key=lambda r: r.mix_position)
+    check(got, len(rows))
+    assert Counter(r.source for r in got) == sizes
+    # The fluid schedule of all sources by themselves, stepped by rows.
+    share = {s: weights.get(s, n**0.5) for s, n in sizes.items()}
+    left, fluid, seen = dict(sizes), Counter(), Counter()
+    for r in got:
+        seen[r.source] += 1
+        rest = 1.0
+        while rest > 1e-9:
+            active = [s for s in left if left[s] - fluid[s] > 1e-6]
+            if not active:
+                break
+            total = sum(share[s] for s in active)
+            step = min([rest, *((left[s] - fluid[s]) * total / share[s] for s in active)])
+            for s in active:
+                fluid[s] += step * share[s] / total
+            rest -= step
+        # A block of 16 rows, and the one that is being read.
+        assert all(abs(fluid[s] - seen[s]) < 32 for s in sizes)
+        assert all(abs(fluid[s] - seen[s]) < 6 for s in sizes if s.startswith("s"))
+
+
+def test_groups_of_sizes():
+    assert mixing.grouped([3, 1, 2], 3) == [1, 2, 3] and mixing.grouped([], 3) == []
+    firsts = mixing.grouped(list(range(1, 5000)), 256)
+    assert firsts[0] == 1 and len(firsts) <= 256
+
+
 def test_none(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string")).collect() == []
 
