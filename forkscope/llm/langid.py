@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from . import common, html_extract, shingles
 
-#: Bounds of what is fitted: languages (the most declared ones), and documents of each, chosen by the hash of their id.
-LANGUAGES, FITTED = 64, 1000
+#: Documents of each language that its likelihoods are fitted to, chosen by the hash of their id; every declared language is fitted.
+FITTED = 1000
+#: Languages whose counts a task holds at once, and with which SENT_HOSTS holds.
+HELD = 64
 CELLS = 1 << 16
 #: Weight of a 4-gram, pseudo-count of a cell, of a level of the host prior, error rate of a declaration, and factor of an address hint.
 TEMPER, PSEUDO, LEVEL, WRONG, HINT = 0.25, 0.5, 10.0, 0.05, 4.0
@@ -52,8 +54,9 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        full = counts + PSEUDO
-        self.table = np.log(full / full.sum(1, keepdims=True)).T.astype(np.float32).copy() if languages else np.zeros((CELLS, 0), np.float32)
+        self.table = np.zeros((CELLS, len(languages)), np.float32)
+        for i, own in enumerate(counts):
+            self.table[:, i] = np.log((own + PSEUDO) / (own + PSEUDO).sum())
 
     def likelihoods(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods by text and language, and the number of grams."""
@@ -81,8 +84,13 @@ def path_of(url: Column) -> Column:
 
 
 def _counted(languages: list[str]):
+    def counted(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = [(k, np.flatnonzero(n)) for k, n in total.items()]
+        row, cell, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.full(len(c), k) for k, c in found], [c for _, c in found], [total[k][c] for k, c in found]))
+        return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["language", "cell", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), CELLS), np.int64)
+        total: dict[int, np.ndarray] = {}
         index = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             declared = batch.column("declared").to_pylist()
@@ -90,17 +98,20 @@ def _counted(languages: list[str]):
                 at, many = cells(texts)
                 end = 0
                 for i, m in enumerate(many.tolist()):
-                    total[index[declared[first + i]]] += np.bincount(at[end : end + m], minlength=CELLS)
+                    k = index[declared[first + i]]
+                    if k not in total and len(total) == HELD:
+                        yield counted(total)
+                        total.clear()
+                    total[k] = total.get(k, 0) + np.bincount(at[end : end + m], minlength=CELLS)
                     end += m
-        row, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[row, cell])], ["language", "cell", "n"])
+        yield counted(total)
 
     return count
 
 
 def fitted(docs: DataFrame, key: str) -> Model:
-    """docs: key, text, declared. The languages are those declared most often."""
-    known = docs.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
+    """docs: key, text, declared. The languages are all those declared."""
+    known = docs.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).collect()
     languages = sorted(r.declared for r in known)
     if not languages:
         return Model([], np.zeros((0, CELLS)))
@@ -109,7 +120,7 @@ def fitted(docs: DataFrame, key: str) -> Model:
     share = F.create_map(*[F.lit(x) for r in known for x in (r.declared, min(1.0, (2 * FITTED + 100) / r.n))])
     rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64(key), key))
     chosen = docs.where(F.col("declared").isin(languages)).where(part <= F.try_element_at(share, F.col("declared"))).select(key, "declared").withColumn("r", rank).where(F.col("r") <= FITTED)
-    # LANGUAGES * FITTED ids at most.
+    # FITTED ids a language at most.
     sample = docs.join(F.broadcast(chosen.select(key, "declared").distinct()), [key, "declared"]).select("text", "declared")
     got = sample.mapInArrow(_counted(languages), "language int, cell int, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), CELLS))
@@ -127,7 +138,7 @@ def _identify(shared):
         for batch in batches:
             rest = batch.drop_columns(["__text", "__declared", "__suffix", "__path", "__prior"])
             declared, suffix, path = (batch.column(c).to_pylist() for c in ("__declared", "__suffix", "__path"))
-            prior = np.log(np.array(batch.column("__prior").to_pylist(), float).reshape(len(batch), n))
+            prior = np.log(batch.column("__prior").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n))
             best, sure = [], []
             for first, texts in shingles.slices(batch.column("__text")):
                 log, many = model.likelihoods(texts)
@@ -169,23 +180,26 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declare
     rows = given.select("*", *(c.alias(k) for k, c in evidence.items()))
     model = fitted(rows.select(key, F.col("__text").alias("text"), F.col("__declared").alias("declared")), key)
     names = model.languages
-    counts = [F.count_if(F.col("__declared") == x).cast("double") for x in names]
+    told = rows.groupBy("__suffix", "__host", "__declared").agg(F.count("*").alias("n"))
+    listed = F.array(*[F.lit(x) for x in names]).cast("array<string>")
 
     def level(by: list[str], to: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.array(*counts).alias(to)) if names else rows.groupBy(*by).agg(F.array().cast("array<double>").alias(to))
+        n = told.groupBy(*by, "__declared").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__declared", "n"))).alias("m"))
+        return n.select(*by, F.transform(listed, lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0)).cast("double")).alias(to))
 
     def smoothed(n: str, above: Column) -> Column:
         total = F.aggregate(F.col(n), F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(F.col(n), above, lambda x, p: (x + LEVEL * p) / (total + LEVEL))
 
     hosts = level(["__suffix", "__host"], "n_host")
-    suffixes = hosts.groupBy("__suffix").agg(F.array(*[F.sum(F.col("n_host")[i]) for i in range(len(names))]).cast("array<double>").alias("n_suffix"))
-    overall = [float(x or 0) for x in (suffixes.agg(*[F.sum(F.col("n_suffix")[i]) for i in range(len(names))]).first() if names else [])]
-    base = F.array(*[F.lit((x + 1) / (sum(overall) + len(names))) for x in overall]) if names else F.array().cast("array<double>")
+    suffixes = level(["__suffix"], "n_suffix")
+    whole = {r["__declared"]: float(r["n"]) for r in told.groupBy("__declared").agg(F.sum("n").alias("n")).where(F.col("__declared").isin(names)).collect()}
+    overall = [whole.get(x, 0.0) for x in names]
+    base = F.array(*[F.lit((x + 1) / (sum(overall) + len(names))) for x in overall]).cast("array<double>")
     suffixes = suffixes.withColumn("p_suffix", smoothed("n_suffix", base)).select("__suffix", "p_suffix")
     priors = hosts.join(suffixes, "__suffix").withColumn("__prior", smoothed("n_host", F.col("p_suffix"))).select("__suffix", "__host", "__prior")
     priors = common.stored(priors, "priors")
-    if priors.count() <= SENT_HOSTS:
+    if priors.count() <= SENT_HOSTS * min(1.0, HELD / max(1, len(names))):
         rows = rows.join(F.broadcast(priors), ["__suffix", "__host"])
     else:
         salt = F.pmod(F.xxhash64(key, "__text"), F.lit(SALTS).cast("long"))

@@ -103,6 +103,17 @@ def test_evidence_and_odd_rows(spark):
     assert {r.language for r in silent.collect()} == {None}
 
 
+def test_more_than_64_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 7)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopq"]  # 70, the last ones declared less often
+    words = {x: " ".join(f"{x}{y}{x[::-1]}{z}" for y in "rstuv" for z in "wxyz") for x in codes}
+    rows = [(2 * i + j, words[x], x, f"h{i % 5}") for i, x in enumerate(codes) for j in range(2 if i < 60 else 1)]
+    df = spark.createDataFrame([*rows, (1000, words[codes[-1]], None, None)], "doc_id long, text string, lang string, source string")
+    got = langid.identified(df, host="source").withColumn("accepted", langid.accepted()).collect()
+    assert len(got) == len(rows) + 1
+    assert all(r.language == (r.lang or codes[-1]) and r.accepted for r in got)
+
+
 def test_pages(spark):
     pages = {r.page_id: r for r in common.table(spark, "/root/testdata/sf0.001", "pages").collect()}
     got = langid.page_language_id(spark, "/root/testdata/sf0.001").collect()
