@@ -6,8 +6,12 @@ anchors are aligned in the same way, common words at a gap's ends first. The
 coverage of a template is the share of its words that are aligned.
 
 A text that covers a template to the least share must hold one of the
-template's rarest words at more than the lost share of its places, so only the
-stretches around those are aligned: no text or occurrence is passed over.
+template's rarest words at more than the lost share of its places, so templates
+without such a word there are not aligned. The others are aligned with the
+stretches around those words, and then, since any number of words may be
+inserted, with ever larger stretches up to the whole text. Words of short
+templates would be found scattered over any long text: in stretches much longer
+than such a template only runs of two and more of its words count.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from . import common
 
 #: A license is found where so much of its template's words are aligned.
 LEAST_COVERAGE = 0.8
+#: Templates of fewer words are short.
+SHORT = 32
 
 # Short forms of public licenses and notices.
 TEMPLATES = {
@@ -110,6 +116,20 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _in_runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of pairs next to another one in both texts."""
+    found = set(pairs)
+    return [(i, j) for i, j in pairs if (i - 1, j - 1) in found or (i + 1, j + 1) in found]
+
+
+def _stretches(words: int, length: int) -> Iterator[tuple[int, int]]:
+    """Ever larger stretches of so many words, up to all: any part of up to half a stretch's length lies in one of them."""
+    while length < words:
+        yield from ((at, at + length) for at in range(0, words, length // 2))
+        length *= 2
+    yield 0, words
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE):
         self.least = least
@@ -147,6 +167,22 @@ class Scanner:
                 share = len(pairs) / len(t)
                 if share >= self.least and (name not in best or share > best[name][0]):
                     best[name] = (share, a + pairs[0][1], a + pairs[-1][1])
+        held = set(own) if starts else set()
+        for name in {n: None for n, _ in starts}:
+            t = self.templates[name]
+            if sum(w in held for w in t) < self.least * len(t):
+                continue
+            for a, b in _stretches(len(own), 2 * len(t)):
+                if name in best and best[name][0] == 1.0:
+                    break
+                near = set(own[a:b])
+                if sum(w in near for w in t) < self.least * len(t):
+                    continue
+                pairs = aligned(t, own[a:b])
+                pairs = _in_runs(pairs) if len(t) < SHORT else pairs
+                share = len(pairs) / len(t)
+                if share >= self.least and (name not in best or share > best[name][0]):
+                    best[name] = (share, a + pairs[0][1], a + pairs[-1][1])
         return sorted(((n, *x) for n, x in best.items()), key=lambda x: (-x[1], -len(self.templates[x[0]]), x[0]))
 
 

@@ -48,6 +48,21 @@ def test_edited_templates():
     assert scanner.scan("the license under which this is released, not known") == []
 
 
+def test_insertions_of_any_length():
+    scanner = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        t, more = licenses.words(text), [f"w{i}" for i in range(500)]
+        for n in (64, 500):
+            middle = t[: len(t) // 2] + more[:n] + t[len(t) // 2 :]
+            found = {x[0]: x[1:] for x in scanner.scan(" ".join([*more, *middle, *more]))}
+            assert found[name] == (1.0, 500, 500 + len(middle) - 1)
+        if len(t) >= licenses.SHORT:
+            turns = [w for word in t for w in (word, "x")]
+            assert {x[0]: x[1] for x in scanner.scan(" ".join(turns))}[name] > 0.9
+    scattered = " ".join(w + " x" * 40 for w in "released under the mit license".split())
+    assert scanner.scan(scattered) == []
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0.", "l"), (2, None, "l"), (3, "", "l"), (None, "x", "l"), (1, "Licensed under CC BY-NC 4.0.", "l")], "doc_id long, text string, license string")
     got = sorted((r.doc_id or 0, r.license, r.coverage, r.licenses) for r in licenses.scanned(df).collect())
