@@ -5,13 +5,13 @@ anchors; their longest increasing subsequence is kept, and the gaps between
 anchors are aligned in the same way, common words at a gap's ends first. The
 coverage of a template is the share of its words that are aligned.
 
-A text that covers a template to the least share must hold one of the
-template's rarest words at more than the lost share of its places, so templates
-without such a word there are not aligned. The others are aligned with the
-stretches around those words, and then, since any number of words may be
-inserted, with ever larger stretches up to the whole text. Words of short
-templates would be found scattered over any long text: in stretches much longer
-than such a template only runs of two and more of its words count.
+A template is aligned with stretches of the text: around every place, a little
+and half as long again as the template; then, since any number of words may
+be inserted, ever larger ones up to the whole text. What holds too few of the
+template's words to reach the least share, or more than the best so far, is
+passed over, which loses nothing. Words of short templates would be found
+scattered over any long text: in stretches much longer than such a template
+only runs of two and more of its words count.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +35,22 @@ LEAST_COVERAGE = 0.8
 #: Templates of fewer words are short.
 SHORT = 32
 
-# Short forms of public licenses and notices.
-TEMPLATES = {
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
-        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
-        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions "
-        "and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-    ),
-    "Apache-2.0": (
+# Headers and notices that stand for public licenses. Their full texts are the files in templates/.
+NOTICES = {
+    "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
-    "GPL-3.0-or-later": (
+    "GPL-2.0-or-later-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "GPL-3.0-or-later-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
     ),
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -66,6 +60,14 @@ TEMPLATES = {
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+
+@lru_cache(1)
+def templates() -> dict[str, str]:
+    """By license: the full texts of templates/ and NOTICES."""
+    files = [f for f in resources.files(__package__).joinpath("templates").iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files, key=lambda f: f.name)} | NOTICES
+
+
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -91,7 +93,7 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of places (in a, in b) with equal words, ascending in both."""
     pairs, waiting = [], [(0, len(a), 0, len(b))]
     while waiting:
@@ -122,92 +124,107 @@ def _in_runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, j) for i, j in pairs if (i - 1, j - 1) in found or (i + 1, j + 1) in found]
 
 
-def _stretches(words: int, length: int) -> Iterator[tuple[int, int]]:
-    """Ever larger stretches of so many words, up to all: any part of up to half a stretch's length lies in one of them."""
-    while length < words:
-        yield from ((at, at + length) for at in range(0, words, length // 2))
+def stretches(n: int, size: int) -> Iterator[list[tuple[int, int]]]:
+    """The stretches of a text of n words that a template of so many words is aligned with, in three steps."""
+    step, slack = max(1, size // 16), size // 4 + 2
+    yield [(s, min(n, s + size + step)) for s in range(0, n, step)]
+    yield [(max(0, s - slack), min(n, s + size + slack)) for s in range(0, n, step)]
+    wide, length = [], 2 * size
+    while length < n:
+        # Any part of up to half a stretch's length lies in one of them.
+        wide += [(s, min(n, s + length)) for s in range(0, n, length // 2)]
         length *= 2
-    yield 0, words
+    yield [*wide, (0, n)]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE):
-        self.least = least
-        self.templates = {k: words(t) for k, t in (templates or TEMPLATES).items()}
-        self.templates = {k: t for k, t in self.templates.items() if t}
-        common_words = Counter(w for t in self.templates.values() for w in set(t))
-        #: By word: (template, place) of the places of which a covering text must hold one.
-        self.rare: dict[str, list[tuple[str, int]]] = {}
-        for name, t in self.templates.items():
-            lost = len(t) - -(-len(t) * least // 1)
-            order = sorted(range(len(t)), key=lambda i: (t.count(t[i]), common_words[t[i]], -len(t[i]), i))
-            for i in order[: int(lost) + 1]:
-                self.rare.setdefault(t[i], []).append((name, i))
+    def __init__(self, texts: dict[str, str] | None = None, least: float = LEAST_COVERAGE):
+        split = {k: words(t) for k, t in (templates() if texts is None else texts).items()}
+        split = {k: t for k, t in split.items() if t}
+        self.names, self.numbers = list(split), {}
+        for t in split.values():
+            for w in t:
+                self.numbers.setdefault(w, len(self.numbers))
+        self.texts = [[self.numbers[w] for w in t] for t in split.values()]
+        #: Words that have to be aligned, and how often each word is in each template.
+        self.need = np.array([int(np.ceil(len(t) * least - 1e-9)) for t in self.texts], np.int64)
+        self.counts = np.array([np.bincount(t, minlength=len(self.numbers)) for t in self.texts], np.int32).reshape(len(self.texts), -1)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of each template covered enough, the best stretch of each: best coverage, then longest template, first."""
-        own = words(text)
-        starts: dict[tuple[str, int], None] = {}
-        if not self.rare.keys().isdisjoint(own):
-            for at, w in enumerate(own):
-                for name, i in self.rare.get(w, ()):
-                    starts[name, max(0, at - i)] = None
-        best: dict[str, tuple[float, int, int]] = {}
-        for name, start in starts:
-            t = self.templates[name]
-            slack = len(t) // 4 + 2
-            if name in best and best[name][0] == 1.0:
-                continue
-            lo = max(0, start - slack)
-            near = set(own[lo : start + len(t) + slack])
-            if sum(w in near for w in t) < self.least * len(t):  # no alignment can reach the least share
-                continue
-            for a, b in ((start, start + len(t)), (lo, start + len(t) + slack)):
-                pairs = aligned(t, own[a:b])
-                share = len(pairs) / len(t)
-                if share >= self.least and (name not in best or share > best[name][0]):
-                    best[name] = (share, a + pairs[0][1], a + pairs[-1][1])
-        held = set(own) if starts else set()
-        for name in {n: None for n, _ in starts}:
-            t = self.templates[name]
-            if sum(w in held for w in t) < self.least * len(t):
-                continue
-            for a, b in _stretches(len(own), 2 * len(t)):
-                if name in best and best[name][0] == 1.0:
-                    break
-                near = set(own[a:b])
-                if sum(w in near for w in t) < self.least * len(t):
+        get = self.numbers.get
+        own = [get(w, -1) for w in words(text)]
+        ids = np.array(own, np.int64)
+        held = np.unique(ids)
+        held = held[held >= 0]
+        if not len(held):
+            return []
+        found = []
+        for k in np.flatnonzero(self.counts[:, held].sum(1) >= self.need):
+            best = self._best(int(k), own, ids)
+            if best:
+                found.append((self.names[k], best[0] / len(self.texts[k]), *best[1:]))
+        sizes = dict(zip(self.names, map(len, self.texts), strict=True))
+        return sorted(found, key=lambda x: (-x[1], -sizes[x[0]], x[0]))
+
+    def _best(self, k: int, own: list[int], ids: np.ndarray) -> tuple[int, int, int] | None:
+        """Most words aligned, and the places of the first and last: of the first stretch, those with the most words of the template first in each step."""
+        t, need = self.texts[k], int(self.need[k])
+        if len(own) < need:
+            return None
+        counts = np.append(self.counts[k], 0)
+        seen = np.concatenate([[0], np.cumsum(counts[ids] > 0)])
+        best, most = None, need - 1
+        for at, step in enumerate(stretches(len(own), len(t))):
+            spans = np.array(step)
+            hits = seen[spans[:, 1]] - seen[spans[:, 0]]
+            order = np.argsort(-hits, kind="stable")
+            for i in order[hits[order] >= need].tolist():
+                a, b = step[i]
+                if hits[i] <= most or int(counts[np.unique(ids[a:b])].sum()) <= most:
                     continue
                 pairs = aligned(t, own[a:b])
-                pairs = _in_runs(pairs) if len(t) < SHORT else pairs
-                share = len(pairs) / len(t)
-                if share >= self.least and (name not in best or share > best[name][0]):
-                    best[name] = (share, a + pairs[0][1], a + pairs[-1][1])
-        return sorted(((n, *x) for n, x in best.items()), key=lambda x: (-x[1], -len(self.templates[x[0]]), x[0]))
+                if at == 2 and len(t) < SHORT:
+                    pairs = _in_runs(pairs)
+                if len(pairs) > most:
+                    best, most = (len(pairs), a + pairs[0][1], a + pairs[-1][1]), len(pairs)
+        return best
+
+
+#: The columns of a scan.
+FOUND = ("license", "coverage", "first_word", "last_word", "licenses")
+
 
+def _scanned(shared):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner: Scanner = shared.value
+        for batch in batches:
+            rest, text = batch.drop_columns(["__text"]), batch.column("__text")
+            for at in range(0, len(batch), 256):
+                found = [scanner.scan(t or "") for t in text.slice(at, 256).to_pylist()]
+                first = [f[0] if f else (None, 0.0, None, None) for f in found]
+                columns = [pa.array([f[0] for f in first], pa.string()), pa.array([f[1] for f in first], pa.float64()), pa.array([f[2] for f in first], pa.int64()), pa.array([f[3] for f in first], pa.int64()), pa.array([[x[0] for x in f] for f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rest.slice(at, 256).columns, *columns], [*rest.schema.names, *FOUND])
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
-    for batch in batches:
-        rest, text = batch.drop_columns(["__text"]), batch.column("__text")
-        for at in range(0, len(batch), 256):
-            found = [scanner.scan(t or "") for t in text.slice(at, 256).to_pylist()]
-            first = [f[0] if f else (None, 0.0, None, None) for f in found]
-            columns = [pa.array([f[0] for f in first], pa.string()), pa.array([f[1] for f in first], pa.float64()), pa.array([f[2] for f in first], pa.int64()), pa.array([f[3] for f in first], pa.int64()), pa.array([[x[0] for x in f] for f in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*rest.slice(at, 256).columns, *columns], [*rest.schema.names, "license", "coverage", "first_word", "last_word", "licenses"])
+    return scan
 
 
-def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), scanner: Scanner | None = None) -> DataFrame:
     """The columns `keep` of docs with the best license (null if none), its coverage, the places of its first and last aligned word, and all licenses found.
 
     Words are runs of ASCII letters and digits in lower case. A null or empty
-    text has no license; all rows stay, repeated ones alike.
+    text has no license; all rows stay, repeated ones alike; an empty table
+    gives no rows. A text of any length is scanned whole. Of equal coverages
+    the longer template comes first, then the smaller name. Columns of docs
+    by the new names can't be kept: that fails.
     """
+    if clash := sorted(set(keep) & set(FOUND)):
+        raise ValueError(f"columns of the scan can't be kept too: {clash}")
     common.modest_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     more = "license string, coverage double, first_word long, last_word long, licenses array<string>"
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_scanned, f"{kept}, {more}")
+    return rows.mapInArrow(_scanned(docs.sparkSession.sparkContext.broadcast(scanner or Scanner())), f"{kept}, {more}" if kept else more)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
