@@ -13,18 +13,20 @@ MAX_BLOCKS blocks and a few at most whatever the number of rows: blocks grow
 with the table. Rows are ranked within their source in hashed cells of about
 CELL_ROWS, so no source, however large, meets in one task.
 
-With more sources than SINGLE, those beyond the largest that have no target
-weight are planned in two levels. Sources of about the same size form a group,
-which has the sum of their weights; they begin and run out together. Within a
-group row i of a source lies in the virtual time window (i, i + 1) / weight,
-and the rows go by that time, so a source is about two rows away from its
-share of its group at most.
+Beyond the SINGLE largest, sources without target weight are planned in two
+levels, since the driver holds no list of all sources. Sources of about the same
+size form a group, which has the sum of their weights; they begin and run out
+together. Within a group row i of a source lies in the virtual time window
+(i, i + 1) / weight, and the rows go by that time. Each source keeps its own
+weight: it is about two rows away from its share at most, and a block has
+LEAST_BLOCK_ROWS.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 from bisect import bisect_right
 from collections.abc import Mapping
 from fractions import Fraction
@@ -39,6 +41,8 @@ MAX_BLOCKS, LEAST_BLOCK_ROWS, CELL_ROWS = 1 << 16, 16, 4096
 SINGLE, POOLS = 1024, 256
 #: Weight of a source without target: its rows to this power.
 POWER = 0.5
+#: Target weights are rounded to so many parts of the largest one; smaller ones count as one part.
+PARTS = 1 << 40
 
 
 def windows(blocks: list[int], weights: list[int]) -> list[list[tuple[int, int]]]:
@@ -123,24 +127,42 @@ def _in_groups(docs: DataFrame, counts: DataFrame, firsts: list[int], lasts: lis
     last = F.element_at(F.array(*[F.lit(float(n)) for n in lasts]), group + 1)
     time = (F.col("__r") + within) / F.pow(rows, F.lit(POWER)) / F.pow(last, F.lit(1 - POWER))
     h = ((time - F.lit(0.5)) * F.lit(2.0**64)).cast("long")
-    return docs.withColumn("__h", h).withColumn("__s", F.concat(F.lit("#"), group)).drop("__rows", "__r")
+    return docs.withColumn("__h", h).withColumn("__s", F.concat(F.lit("#"), group)).withColumnRenamed("__r", "__own").drop("__rows")
+
+
+def planned(blocks: list[int], shares: list[float]) -> list[list[int]]:
+    """The slot of each block: sources of weight 0 come after all others, and share among themselves alike."""
+    out: list[list[int]] = [[] for _ in blocks]
+    first = 0
+    for now in ([i for i, x in enumerate(shares) if x > 0], [i for i, x in enumerate(shares) if x == 0]):
+        top = max((shares[i] for i in now), default=0)
+        whole = [max(1, round(shares[i] / top * PARTS)) if top else 1 for i in now]
+        for i, slots in zip(now, schedule([blocks[i] for i in now], whole), strict=True):
+            out[i] = [first + t for t in slots]
+        first += sum(blocks[i] for i in now)
+    return out
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """docs with mix_source, mix_block (within its source), mix_slot and mix_position (0 to rows - 1).
 
     weights: relative target weight by source (missing ones, null among them
-    as a source of its own: rows ** POWER). Columns of docs by the new names
-    are replaced. Rows of a source come in the order
+    as a source of its own: rows ** POWER). A weight of 0 puts a source after
+    all others; negative, infinite and NaN weights are an error. Columns of docs
+    by the new names are replaced. Rows of a source come in the order
     of their key's hash. Beyond SINGLE sources those without target weight may
-    be planned in groups: mix_source is then the group and mix_block counts
-    within it, and the rows of its sources take turns by their own weights. Repeated rows and rows without key are kept. No row is
-    dropped or repeated: a source that runs out leaves its share to the others.
+    be planned in groups, whose rows take turns by their sources' own weights;
+    mix_slot is then the slot of the group's block. Repeated rows and rows
+    without key are kept; no row is dropped or repeated: a source that runs out
+    leaves its share to the others. No rows give no rows; texts are not read.
     """
+    for name, x in (weights or {}).items():
+        if not (math.isfinite(x) and x >= 0):
+            raise ValueError(f"target weight of {name}: {x}")
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
     spark, columns = docs.sparkSession, docs.columns
     h = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*columns))
-    docs = docs.withColumn("__s", _source(source)).withColumn("__h", h)
+    docs = docs.withColumn("__s", _source(source)).withColumn("__h", h).withColumn("__own", F.lit(None).cast("long"))
     given = {f"={k}": float(v) for k, v in (weights or {}).items()}
     counts = docs.groupBy("__s").agg(F.count("*").alias("rows"))
     top = counts.orderBy(F.desc("rows"), "__s").limit(SINGLE + 1).collect()
@@ -155,29 +177,28 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, source: s
         if firsts:
             members = [[(n, k) for n, k in sizes if a <= n < b] for a, b in zip(firsts, [*firsts[1:], float("inf")], strict=True)]
             found |= {f"#{i}": (sum(n * k for n, k in each), sum(n**POWER * k for n, k in each)) for i, each in enumerate(members)}
-            apart = _in_groups(docs.join(known, "__s", "left_anti"), others, firsts, [each[-1][0] for each in members], key)
+            apart = _in_groups(docs.drop("__own").join(known, "__s", "left_anti"), others, firsts, [each[-1][0] for each in members], key)
             docs = docs.join(known, "__s").unionByName(apart)
     names = sorted(found)
     rows = [found[s][0] for s in names]
     size = max(LEAST_BLOCK_ROWS, -(-sum(rows) // max_blocks))
     blocks = [-(-n // size) for n in rows]
-    shares = [max(0.0, float(found[s][1])) for s in names]
-    whole = [max(1, round(x / (max(shares, default=1) or 1) * (1 << 20))) for x in shares]
-    slots = schedule(blocks, whole)
+    slots = planned(blocks, [float(found[s][1]) for s in names])
     sizes = sorted((slot, min(size, n - i * size), s, i) for s, (each, n) in enumerate(zip(slots, rows, strict=True)) for i, slot in enumerate(each))
     firsts, at = [[0] * n for n in blocks], 0
     for _, n, s, i in sizes:
         firsts[s][i] = at
         at += n
     plan = json.dumps([{"__s": s, "cells": -(-n // CELL_ROWS), "blocks": [{"slot": t, "first": f} for t, f in zip(a, b, strict=True)]} for s, n, a, b in zip(names, rows, slots, firsts, strict=True)])
-    planned = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<__s:string, cells:int, blocks:array<struct<slot:long, first:long>>>>")))
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<__s:string, cells:int, blocks:array<struct<slot:long, first:long>>>>")))
     # One row a source, and one a block: both have a fixed bound.
-    cells = F.broadcast(planned.select("__s", "cells"))
-    places = planned.select("__s", F.posexplode("blocks").alias("block", "place")).select("__s", F.col("block").cast("long").alias("__b"), F.col("place.slot").alias("__slot"), F.col("place.first").alias("__first"))
+    cells = F.broadcast(table.select("__s", "cells"))
+    places = table.select("__s", F.posexplode("blocks").alias("block", "place")).select("__s", F.col("block").cast("long").alias("__b"), F.col("place.slot").alias("__slot"), F.col("place.first").alias("__first"))
 
     docs = _ranked(docs.join(cells, "__s"), key).withColumn("__b", F.expr(f"__r div {size}L"))
     docs = docs.join(F.broadcast(places), ["__s", "__b"])
-    return docs.select(*columns, F.col("__s").alias("mix_source"), F.col("__b").alias("mix_block"), F.col("__slot").alias("mix_slot"), (F.col("__first") + F.col("__r") % size).alias("mix_position"))
+    block = F.expr(f"coalesce(__own, __r) div {size}L")
+    return docs.select(*columns, F.col(source).cast("string").alias("mix_source"), block.alias("mix_block"), F.col("__slot").alias("mix_slot"), (F.col("__first") + F.col("__r") % size).alias("mix_position"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
