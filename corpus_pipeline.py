@@ -8,7 +8,8 @@ near-duplicate stage, which can't name them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forkscope.llm import common, langid, mixing, ngram_join, quality, sentencepiece
@@ -51,15 +52,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return together(kept, docs).union(docs.where("doc_id IS NULL"))
 
 
+def in_order(rows: DataFrame, position: Column, n: int) -> DataFrame:
+    """n rows dealt out by their place from 0 to n - 1, which takes no sampling pass, and sorted by it."""
+    parts = common.partitions(rows.sparkSession)
+    part = F.floor(position * F.lit(parts).cast("long") / F.lit(max(1, n))).cast("int")
+    return rows.repartitionById(parts, F.coalesce(part, F.lit(0))).sortWithinPartitions(position)
+
+
+def file_places(docs: DataFrame) -> DataFrame:
+    """docs with __place, the row's place in the files that docs is read from; null where docs isn't read from files."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select("*", meta["file_name"].alias("__file"), meta["row_index"].alias("__row"))
+    except AnalysisException:
+        return docs.withColumn("__place", F.lit(None).cast("long"))
+    # One row a file: as many as the writer had tasks.
+    number = F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long")
+    sizes = rows.groupBy("__file").agg(F.max("__row").alias("last"))
+    before = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("__file", before.alias("__first"))
+    return rows.join(F.broadcast(firsts), "__file").withColumn("__place", (F.col("__first") + F.col("__row")).cast("long")).drop("__file", "__row", "__first")
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of their place in the mixture."""
-    rows = mixing.mixed(apart(docs)).repartitionByRange(common.partitions(spark), "mix_position").sortWithinPartitions("mix_position")
-    return together(rows, docs)
+    return together(in_order(mixing.mixed(apart(docs)), F.col("mix_position"), docs.count()), docs)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the check that they decode to its text."""
-    return sentencepiece.encoded(docs, sentencepiece.default_path(), keep=("doc_id", "lang", "source"))
+    """Token ids of every document in the order of the mixture, with mix_position and the check that they decode to its text."""
+    rows = file_places(docs.select("doc_id", "text", "lang", "source")).withColumnRenamed("__place", "mix_position")
+    rows = in_order(rows, F.col("mix_position"), docs.count())
+    return sentencepiece.encoded(rows, sentencepiece.default_path(), keep=("doc_id", "lang", "source", "mix_position"))
 
 
 STAGES = [
