@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pyarrow.parquet as pq
+
 import corpus_pipeline as pipeline
 from forkscope.llm import langid, mixing, ngram_join, quality, sentencepiece
 
@@ -19,21 +21,33 @@ def test_stages_against_their_operators(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     assert ids[2] == {r.doc_id for r in quality.scored(kept[1], labels).where(quality.selected()).collect()}
     groups = defaultdict(set)
-    for r in ngram_join.components_of(kept[2]).collect():
+    for r in ngram_join.components_of(kept[2], pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT).collect():
         groups[r.component_id].add(r.doc_id)
     assert ids[3] == {min(g) for g in groups.values()} and len(ids[3]) < len(ids[2])
     assert ids[4] == ids[3] == ids[5]
     place = {r.doc_id: r.mix_position for r in mixing.mixed(kept[3]).collect()}
-    written = [place[r.doc_id] for r in pipeline.mixing_sources(spark, kept[3], SF).collect()]
-    assert written == sorted(written)
+    assert {r.doc_id: r.mix_position for r in kept[5].collect()} == place
     texts, v = {r.doc_id: r.text for r in docs.collect()}, sentencepiece.pieces(sentencepiece.default_path())
     for r in kept[5].collect():
         assert r.round_trip and len(r.ids) == r.n_pieces and b"".join(v.raw[i] for i in r.ids).decode() == texts[r.doc_id]
 
 
-def test_run(spark):
-    rows = pipeline.run(spark, SF).collect()
+def test_run_keeps_the_mixture_through_its_files(spark, tmp_path):
+    pipeline.run(spark, SF).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert 50 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows)
+    assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = mixing.mixed(spark.createDataFrame([(r.doc_id, docs[r.doc_id]) for r in rows], "doc_id long, source string")).collect()
+    assert {r.doc_id: r.mix_position for r in rows} == {r.doc_id: r.mix_position for r in want}
+    # The files by name, and their rows, are in the order of the mixture.
+    files = [[r["mix_position"] for r in pq.read_table(f).to_pylist()] for f in sorted((tmp_path / "out").glob("part-*"))]
+    assert [x for f in files for x in f] == list(range(len(rows)))
+
+
+def test_places_of_rows_that_no_file_holds(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.mix_position for r in pipeline.sentencepiece_ids(spark, docs, SF).collect()] == [None]
 
 
 def test_near_duplicates_with_odd_rows(spark):
