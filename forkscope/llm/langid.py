@@ -4,7 +4,8 @@ The log posterior of a language adds up the log likelihood of the text's byte
 4-grams (tempered, since they overlap), that of the declared markup language
 given the true one, that of the address's language hints (country suffix, first
 part of the path), and a host prior. Host priors are smoothed in steps, host to
-suffix to all documents, from counts by grouped aggregation over all rows.
+suffix to all documents, from counts by grouped aggregation over all rows. One
+more class, of texts in no known language, has all 4-grams alike likely.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ CELLS = 1 << 16
 TEMPER, PSEUDO, LEVEL, WRONG, HINT = 0.25, 0.5, 10.0, 0.05, 4.0
 #: Hosts whose priors are sent to all tasks at most; beyond that rows are joined by salted host.
 SENT_HOSTS, SALTS = 100_000, 64
+#: Prior of a text in no known language.
+UNKNOWN = 1e-4
 #: A posterior below this leaves the language undetermined.
 LEAST_POSTERIOR = 0.5
 # Country suffixes by language.
@@ -120,8 +123,8 @@ def fitted(docs: DataFrame, key: str) -> Model:
     share = F.create_map(*[F.lit(x) for r in known for x in (r.declared, min(1.0, (2 * FITTED + 100) / r.n))])
     rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64(key), key))
     chosen = docs.where(F.col("declared").isin(languages)).where(part <= F.try_element_at(share, F.col("declared"))).select(key, "declared").withColumn("r", rank).where(F.col("r") <= FITTED)
-    # FITTED ids a language at most.
-    sample = docs.join(F.broadcast(chosen.select(key, "declared").distinct()), [key, "declared"]).select("text", "declared")
+    # FITTED ids a language at most, and one text of each: of rows that repeat an id the one with the least hash.
+    sample = docs.join(F.broadcast(chosen.select(key, "declared").distinct()), [key, "declared"]).groupBy(key, "declared").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "declared")
     got = sample.mapInArrow(_counted(languages), "language int, cell int, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), CELLS))
     counts[got["language"].to_numpy(), got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -149,16 +152,19 @@ def _identify(shared):
                         sure.append(0.0)
                         continue
                     row = log[i]
+                    none = TEMPER * many[i] * -np.log(CELLS) + np.log(UNKNOWN)
                     if declared[first + i] in index:
                         row = row + said[index[declared[first + i]]]
+                        none -= np.log(n)
                     for hint in (SUFFIXES.get(suffix[first + i]), path[first + i]):
                         if hint in index:
                             row = row.copy()
                             row[index[hint]] += np.log(HINT)
-                    row = np.exp(row - row.max())
+                    top = max(row.max(), none)
+                    row, none = np.exp(row - top), np.exp(none - top)
                     k = int(row.argmax())
-                    best.append(languages[k])
-                    sure.append(float(row[k] / row.sum()))
+                    best.append(languages[k] if row[k] >= none else None)
+                    sure.append(float(row[k] / (row.sum() + none)) if row[k] >= none else 0.0)
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], [*rest.schema.names, "language", "posterior"])
 
     return identify
@@ -167,9 +173,12 @@ def _identify(shared):
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", url: str | None = None, host: str | None = None) -> DataFrame:
     """docs with language (null if undetermined) and posterior; columns of docs by these names are replaced.
 
-    A text without letters, and any text where no row declares a language, is
-    undetermined. Null declarations, addresses and hosts are no evidence (a
-    null host shares one prior). Repeated rows are judged alike; all rows stay.
+    A text without letters, one whose 4-grams no language makes likely, and any
+    text where no row declares a language, is undetermined. Null declarations,
+    addresses and hosts are no evidence (a null host shares one prior). Texts of
+    any length are read whole. Repeated rows are judged alike and all rows stay;
+    the fit takes one text of a repeated key. Of equal posteriors the language
+    first in the alphabet is taken; an empty table gives no rows.
     """
     spark = docs.sparkSession
     common.modest_batches(spark)

@@ -49,6 +49,11 @@ def brute(rows, languages, model):
             if lang in languages:
                 v += np.log(1 - langid.WRONG if x == lang else langid.WRONG / (len(languages) - 1))
             logs.append(v)
+        none = np.log(langid.UNKNOWN) - langid.TEMPER * len(at) * np.log(langid.CELLS) - (np.log(len(languages)) if lang in languages else 0)
+        if none > max(logs):
+            out[i] = (None, 0.0)
+            continue
+        logs.append(none)
         p = np.exp(np.array(logs) - max(logs))
         out[i] = (languages[int(p.argmax())], p.max() / p.sum()) if len(at) else (None, 0.0)
     return out
@@ -103,6 +108,21 @@ def test_evidence_and_odd_rows(spark):
     assert {r.language for r in silent.collect()} == {None}
 
 
+def test_repeated_ids_and_long_texts_and_junk(spark, monkeypatch):
+    en, de = "the cat and the dog of the house ", "der hund und die katze des hauses "
+    rows = [(i, (en if i % 2 else de) * 20, "en" if i % 2 else "de", "s") for i in range(40)]
+    rows += [(1, en + str(i), "en", "s") for i in range(3000)] + [(50, en * 30_000, "en", "s"), (51, "a" * 1_000_000, "en", "s"), (52, "qzvx jkqw xzzq vvqj wqxk zxqj kqzv " * 40, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(langid, "FITTED", 8)
+    sample = df.selectExpr("doc_id", "text", "lang AS declared")
+    model = langid.fitted(sample, "doc_id")
+    once = langid.fitted(sample.dropDuplicates(["doc_id"]).where("doc_id <> 1"), "doc_id")
+    assert model.languages == once.languages == ["de", "en"]
+    monkeypatch.undo()
+    got = {r.doc_id: r for r in langid.identified(df, host="source").collect()}
+    assert got[50].language == "en" and got[2].language == "de" and got[52].language is None and got[52].posterior == 0.0
+
+
 def test_more_than_64_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 7)
     codes = [a + b for a in "abcdefghij" for b in "klmnopq"]  # 70, the last ones declared less often
