@@ -115,13 +115,15 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, graded: DataFrame, fitted: int = FITTED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of labelled documents: `fitted` labels at most."""
+    """Features and grades of labelled documents: `fitted` rows at most, one of each doc_id."""
     # Twice the ids wanted, by their hash; the exact choice is then made among few.
     graded = common.stored(graded, "grades")
     share = min(1.0, (2 * fitted + 100) / max(1, graded.count()))
     part = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + F.lit(0.5)
     chosen = graded.where(part <= share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text of each id, whatever the number of rows that repeat it: the one with the least hash.
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("doc_id", "text", "grade").mapInArrow(_featured, "doc_id long, grade int, features array<int>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     lists = got["features"].combine_chunks() if len(got) else None
@@ -149,7 +151,9 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """docs with expected_grade and tail_probability = P(grade >= TOP); columns of docs by these names are replaced.
 
     Both are null where the labelled documents hold fewer than two grades. A
-    null text counts as empty. All rows stay, repeated ones alike.
+    null text counts as empty; texts of any length are read whole. All rows
+    stay, repeated ones alike; the fit takes one text of a repeated doc_id. An
+    empty table gives no rows.
     """
     common.modest_batches(docs.sparkSession)
     model = Ordinal.fitted(*sample(docs.withColumn("text", F.col(text)), grades(labels)))

@@ -57,6 +57,15 @@ def test_odd_rows(spark):
     assert quality.scored(docs.limit(0), some).collect() == []
 
 
+def test_the_fit_takes_one_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(i % 5, f"word{i % 5} text {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    rows, grades = quality.sample(docs, quality.grades(labels))
+    assert len(rows) == len(grades) == 5
+    again, _ = quality.sample(docs.orderBy(F.rand(3)), quality.grades(labels))
+    assert all((a == b).all() for a, b in zip(rows, again))
+
+
 def test_query(spark):
     """Against the model applied text by text."""
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
