@@ -1,10 +1,18 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi.
 
 A text is cut where no piece can reach across; each distinct word is segmented
-once. Words of one length advance together: rolling hashes of all their
-substrings probe the sorted keys of the pieces of that length, and for each end
-position the best sum of scores over the lengths of the last piece, with the
-length as backpointer, is one vectorised maximum.
+once. Words of about one length advance together, the shorter ones filled up
+behind their end: rolling hashes of all their substrings probe the sorted keys
+of the pieces of that length, and for each end position the best sum of scores
+over the lengths of the last piece, with the length as backpointer, is one
+vectorised maximum. A word beyond ALONE characters (text without spaces) is
+probed in the same way, window by window, and advances by itself over its hits.
+
+What the model file says of normalisation holds: texts begin with the space
+that most models put there, which decoding takes away again; a model that
+changes characters gets its texts from the library's normaliser. A text's own
+U+2581 stays what it is and is written as bytes, where the library takes it for
+a space.
 
 Scores: a unigram model's file holds log probabilities, which are used as they
 are. A merge model's file holds ranks; its pieces get the log probability of
@@ -15,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +39,18 @@ SPACE = "▁"
 FOREIGN = 0x110000
 #: What a character without piece costs beyond the worst piece.
 UNKNOWN_COST = 10.0
-#: Words that a worker remembers, and cells of a batch of equally long words.
-REMEMBERED, BATCH_CELLS = 1 << 18, 1 << 19
+#: Words that a worker remembers and their characters at most, which bounds the bytes held; cells of a batch of words.
+REMEMBERED, REMEMBERED_CHARS, BATCH_CELLS = 1 << 18, 64, 1 << 19
+#: A word of more characters advances by itself, in windows of so many starts.
+ALONE, WINDOW = 1024, 1 << 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
     """A vocabulary: piece texts (None for those that no text matches), scores, and byte pieces (byte by id)."""
 
-    def __init__(self, pieces: list[str | None], scores: np.ndarray, bytes_of: dict[int, int]):
+    def __init__(self, pieces: list[str | None], scores: np.ndarray, bytes_of: dict[int, int], prefix: bool = False, normalize=None):
+        self.prefix, self.normalize = prefix, normalize
         self.scores, self.byte_ids = scores, {b: i for i, b in bytes_of.items()}
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no piece for some byte")
@@ -82,13 +94,27 @@ class Pieces:
         if len(ranks) and (ranks[ranks > -1e8] == np.round(ranks[ranks > -1e8])).all():
             law = -np.log(np.arange(1, len(ordinary) + 1))
             scores[ordinary] = law - np.log(np.exp(law).sum())
-        return cls(pieces, scores, bytes_of)
+        # What the normaliser does to each kind of character shows in a probe.
+        probe = "a  b\u00e9\u0301\ufb01\uff21\t\u00a0\u200bB "
+        got = model.normalize(probe)
+        prefix = got.startswith(SPACE)
+        same = got[prefix:] == probe.replace(" ", SPACE)
+        return cls(pieces, scores, bytes_of, prefix and same, None if same else model.normalize)
+
+    @staticmethod
+    def _points(words: list[str], width: int) -> np.ndarray:
+        """Code points by word and place, as pieces write them; FOREIGN behind a word's end."""
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        flat = np.where(flat == ord(SPACE), np.uint64(FOREIGN), np.where(flat == 0x20, np.uint64(ord(SPACE)), flat))
+        out = np.full((len(words), width), FOREIGN, np.uint64)
+        out[np.arange(width) < np.array([len(w) for w in words])[:, None]] = flat
+        return out
 
     def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; all words have one length."""
-        size = len(words[0])
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size).astype(np.uint64)
-        points = np.where(points == ord(SPACE), np.uint64(FOREIGN), np.where(points == 0x20, np.uint64(ord(SPACE)), points))
+        """Ids of each word."""
+        lengths = np.array([len(w) for w in words])
+        size = int(lengths.max())
+        points = self._points(words, size)
         found, scores = {}, {}
         h = np.zeros((len(words), size + 1), np.uint64)
         for n in range(1, min(size, self.longest) + 1):
@@ -113,7 +139,7 @@ class Pieces:
                     better = other > top
                     top, last = np.where(better, other, top), np.where(better, np.int32(n), last)
             best[end], back[end] = top, last
-        rows, end, columns = np.arange(len(words)), np.full(len(words), size), []
+        rows, end, columns = np.arange(len(words)), lengths.copy(), []
         while (end > 0).any():
             n = np.where(end > 0, back[end, rows], 0)
             ids = np.full(len(words), -2)
@@ -127,36 +153,87 @@ class Pieces:
         starts = np.stack([c[1] for c in reversed(columns)], 1)
         if (steps != -1).all():
             return [row[row >= 0].tolist() for row in steps]
-        out = []
-        for row, at, word in zip(steps.tolist(), starts.tolist(), words, strict=True):
-            ids = []
-            for i, k in zip(row, at, strict=True):
-                ids += [i] if i >= 0 else [self.byte_ids[b] for b in word[k].encode("utf-8", "surrogatepass")] if i == -1 else []
-            out.append(ids)
-        return out
+        return [self._spelled(zip(row, at, strict=True), word) for row, at, word in zip(steps.tolist(), starts.tolist(), words, strict=True)]
+
+    def _spelled(self, steps, word: str) -> list[int]:
+        """Ids of (id, start) steps; -1 is a character without piece, anything below is no step."""
+        ids = []
+        for i, k in steps:
+            ids += [i] if i >= 0 else [self.byte_ids[b] for b in word[k].encode("utf-8", "surrogatepass")] if i == -1 else []
+        return ids
+
+    def segment_long(self, word: str) -> list[int]:
+        """The same as segment([word]), in time and memory in proportion to the word."""
+        size, reach = len(word), self.longest
+        back, piece = array("i", bytes(4 * (size + 1))), array("i", bytes(4 * (size + 1)))
+        carried = [0.0]
+        for a in range(0, size, WINDOW):
+            b = min(a + WINDOW, size)
+            points = self._points([word[a : min(b + reach - 1, size)]], min(b + reach - 1, size) - a)[0]
+            hits, h = [], np.zeros(len(points) + 1, np.uint64)
+            for n in range(1, min(len(points), reach) + 1):
+                h = h[: len(points) - n + 1] * FACTOR + points[n - 1 :]
+                here = h[: b - a]
+                found = np.full(len(here), -1)
+                if n in self.keys:
+                    keys, ids = self.keys[n]
+                    at = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
+                    found = np.where(keys[at] == here, ids[at], -1)
+                starts = np.arange(len(here)) if n == 1 else np.flatnonzero(found >= 0)
+                hits.append((starts, np.full(len(starts), n), found[starts]))
+            starts, lengths, ids = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.argsort(starts, kind="stable")
+            starts, lengths, ids = starts[order], lengths[order], ids[order]
+            gain = np.where(ids >= 0, self.scores[ids], self.unknown)
+            best = carried + [-np.inf] * (b - a + reach + 1 - len(carried))
+            for start, n, i, x in zip(starts.tolist(), lengths.tolist(), ids.tolist(), gain.tolist(), strict=True):
+                x += best[start]
+                end = start + n
+                if x >= best[end]:  # of equal sums the shortest last piece
+                    best[end], back[a + end], piece[a + end] = x, n, i
+            carried = best[b - a :]
+        steps, end = [], size
+        while end:
+            steps.append((piece[end], end - back[end]))
+            end -= back[end]
+        return self._spelled(reversed(steps), word)
 
     def learn(self, words: set[str]) -> None:
-        lengths: dict[int, list[str]] = {}
-        for w in words.difference(self.known):
-            lengths.setdefault(len(w), []).append(w)
-        for size, group in lengths.items():
-            step = max(1, BATCH_CELLS // (size * min(size, self.longest)))
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                for w, ids in zip(part, self.segment(part), strict=True):
-                    self.known[w] = np.array(ids, "<u4").tobytes()
+        fresh = sorted(words.difference(self.known), key=len)
+        at = 0
+        while at < len(fresh) and len(fresh[at]) <= ALONE:
+            # Words up to an eighth longer than the shortest go together.
+            most = len(fresh[at]) + len(fresh[at]) // 8
+            limit = at + max(1, BATCH_CELLS // (most * min(most, self.longest)))
+            end = at + 1
+            while end < min(len(fresh), limit) and len(fresh[end]) <= most:
+                end += 1
+            part = fresh[at:end]
+            for w, ids in zip(part, self.segment(part), strict=True):
+                self.known[w] = np.array(ids, "<u4").tobytes()
+            at = end
+        for w in fresh[at:]:
+            self.known[w] = np.array(self.segment_long(w), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = [self.cut.findall(t) for t in texts]
-        self.learn(set().union(*words))
+        if self.normalize:
+            texts = [self.normalize(t).replace(SPACE, " ") for t in texts]
+        words = [self.cut.findall(f" {t}" if self.prefix and t else t) for t in texts]
+        every = set().union(*words)
+        self.learn(every)
         get = self.known.__getitem__
-        return [b"".join(map(get, each)) for each in words]
+        out = [b"".join(map(get, each)) for each in words]
+        for w in every:
+            if len(w) > REMEMBERED_CHARS:
+                del self.known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 @lru_cache(1)
@@ -189,7 +266,10 @@ def _encoded(path: str, with_ids: bool):
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """The columns `keep` of docs with n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip (whether the ids decode to the text) and ids.
 
-    A null text counts as empty and has no ids; all rows stay, repeated ones alike.
+    A null text counts as empty and has no ids; all rows stay, repeated ones
+    alike; texts of any length are encoded whole. Of equally good segmentations
+    the one with the shortest last pieces is taken. The columns `keep` may not
+    have the new ones' names; others of docs are not read. No rows give no rows.
     """
     common.modest_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))

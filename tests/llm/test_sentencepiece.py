@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ def score(vocabulary, ids, text):
     return sum(vocabulary.scores[i] for i in plain) + len(chars) * vocabulary.unknown
 
 
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab ▁\nxé😀"), max_size=14), st.booleans())
 def test_against_scalar_viterbi(text, crossing):
     extra = ("b▁a",) if crossing else ()
@@ -55,6 +56,7 @@ def test_against_scalar_viterbi(text, crossing):
     assert score(v, ids, text) == pytest.approx(brute(v, pieces, text))
 
 
+@settings(deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
     v = sentencepiece.pieces(PATH)
@@ -82,7 +84,7 @@ def test_like_the_library_s_unigram_segmentation(tmp_path):
     for i in range(model.get_piece_size()):
         kind = 2 if model.is_unknown(i) else 3 if model.is_control(i) else 6 if model.is_byte(i) else 1
         out += field(1, field(1, model.id_to_piece(i).encode()) + number(2 << 3 | 5) + struct.pack("<f", mine.scores[i]) + number(3 << 3) + number(kind))
-    out += field(2, number(3 << 3) + number(1) + number(35 << 3) + number(1)) + field(3, field(1, b"identity") + number(3 << 3) + number(0) + number(4 << 3) + number(0) + number(5 << 3) + number(1))
+    out += field(2, number(3 << 3) + number(1) + number(35 << 3) + number(1)) + field(3, field(1, b"identity") + number(3 << 3) + number(1) + number(4 << 3) + number(0) + number(5 << 3) + number(1))
     (tmp_path / "m").write_bytes(out)
     unigram = library.SentencePieceProcessor(model_file=str(tmp_path / "m"))
     for text in ("This is the first of many internationalization tests", "un deux trois, quatre", "Straßenverkehr  und漢 so"):
@@ -91,6 +93,48 @@ def test_like_the_library_s_unigram_segmentation(tmp_path):
         assert total(got) == pytest.approx(total(want), abs=1e-2) and len(got) == len(want)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab ▁\nxé😀"), min_size=1, max_size=40), st.integers(1, 9))
+def test_long_words_advance_like_short_ones(text, window):
+    v = small(("b▁a",))
+    before, sentencepiece.WINDOW = sentencepiece.WINDOW, window
+    try:
+        assert v.segment_long(text) == v.segment([text])[0]
+    finally:
+        sentencepiece.WINDOW = before
+
+
+def test_words_of_many_lengths_at_once(real):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh漢字0123"), n)) for n in [*range(1, 90), 500, 1000, 1024, 1025, 3000]]
+    v = sentencepiece.Pieces.load(PATH)
+    together = v.encode([" ".join(words)])[0]
+    assert max(map(len, v.known)) <= sentencepiece.REMEMBERED_CHARS
+    apart = [v.segment([" " + w])[0] for w in words]
+    assert np.frombuffer(together, "<u4").tolist() == [i for ids in apart for i in ids]
+
+
+def test_the_model_s_space_in_front(real):
+    import sentencepiece as library
+
+    model = library.SentencePieceProcessor(model_file=PATH)
+    for text in ("Hello world", "the", "", "a", "the end"):
+        assert np.frombuffer(real.encode([text])[0], "<u4").tolist() == model.encode(text)
+    assert real.prefix and real.normalize is None
+
+
+def test_a_model_that_changes_characters():
+    v = sentencepiece.Pieces([None] * 256 + ["▁", "a"], np.concatenate([np.zeros(256), [-1.0, -1.0]]), {i: i for i in range(256)}, normalize=lambda t: ("▁" + t.lower()).replace(" ", "▁"))
+    assert v.decode(v.encode(["A a"])[0]) == " a a"
+
+
+def test_time_of_a_text_without_spaces(real):
+    text = "aGVsbG8gd29ybGQhIFRoaXMgaXMgYmFzZTY0" * 30_000
+    began = time.perf_counter()
+    assert real.decode(real.encode([text])[0]) == text
+    assert time.perf_counter() - began < 20
+
+
 def test_long_and_odd_texts(real):
     for text in ("", " ", "   ", "x" * 5000, "a b " * 20_000, "▁▁ ▁", "\n\n\t x\r\n", "漢字" * 800):
         assert real.decode(real.encode([text])[0]) == text
