@@ -29,8 +29,8 @@ MAGIC = b"FSWAVE01"
 #: Bits of a plane for each entry of its rank directory.
 STEP = 512
 SHARD_TOKENS = 1 << 20
-#: Bytes of text that are split and looked up at once, and words that a task remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 1 << 19
+#: Bytes of text that are split and looked up at once; words that a task remembers, and their bytes at most.
+SLICE_BYTES, REMEMBERED, REMEMBERED_BYTES = 4 << 20, 1 << 19, 64
 
 
 class WaveletMatrix:
@@ -198,21 +198,26 @@ class Words(dict):
         else:
             text = core.decode().lower()
             if not text.isalpha() or max(text) >= "\u0250":
-                self[word] = got = self.whole([word])[0]
-                return got
+                return self.remembered(word, self.whole([word])[0])
             text = text.encode().decode("latin-1").translate(self.letters)
         got = self.get(core)
         if got is None:
             packed = self.packed
-            self[core] = got = b"".join([packed[t.id] for t in self.run(text)])
+            got = self.remembered(core, b"".join([packed[t.id] for t in self.run(text)]))
         if len(core) < len(word):
             end = word[len(core) :]
             tail = self.get(end)
             if tail is None:
-                self[end] = tail = self.whole([end])[0]
-            self[word] = got = got + tail
+                tail = self.remembered(end, self.whole([end])[0])
+            got = self.remembered(word, got + tail)
         return got
 
+    def remembered(self, word: bytes, ids: bytes) -> bytes:
+        """ids; long words are encoded anew each time, which bounds the bytes held."""
+        if len(word) <= REMEMBERED_BYTES:
+            self[word] = ids
+        return ids
+
 
 class Encoder:
     """encode(text) of the tokenizers library without special tokens.
@@ -306,7 +311,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vo
 
     A null text counts as empty and still gets its end id; rows without doc_id
     take no part. Repeated doc_ids are kept, ordered among themselves by their
-    text's hash. Documents are never split over shards. The container is
+    text's hash. Documents are never split over shards, however long: a shard
+    of one document may be larger than the others. No rows give no shards. The container is
     Parquet, whose commit protocol leaves no half-written shard when an
     executor is lost; each row is one self-contained compressed shard.
     """

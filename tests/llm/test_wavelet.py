@@ -86,3 +86,12 @@ def test_words_like_whole_texts():
     other = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not other.by_word
     assert other.encode(texts) == [np.array(other.library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_long_words_are_not_remembered():
+    encoder = wavelet.Encoder(PATH)
+    library = Tokenizer.from_file(PATH)
+    words = [chr(97 + i) * 70 + str(i) for i in range(20)] + ["z" * 100_000, "short", "é" * 200, "x" * 80 + "..."]
+    got = encoder.encode([" ".join(words).encode()])[0]
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert max(map(len, encoder.known)) <= wavelet.REMEMBERED_BYTES
