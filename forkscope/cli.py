@@ -19,13 +19,16 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--base-kib", type=lambda x: int(x) << 10, dest="base_bytes", default=argparse.SUPPRESS)
     p.add_argument("--edit-bytes", type=int, default=96)
     p.add_argument("--read-bytes", type=int, default=4096)
-    p.add_argument("--samples", type=int, default=16)
+    p.add_argument("--leaf-bytes", type=int, default=4096)
+    p.add_argument("--verify-samples", "--samples", type=int, default=16)
     p.add_argument("--seed", type=lambda x: int(x, 0), default=DEFAULT_SEED)
-    p.add_argument("--chunk-average", type=int, default=4096)
+    p.add_argument("--avg-chunk-bytes", "--chunk-average", type=int, default=4096)
     p.add_argument("--corpus-manifest")
     found = p.parse_args(argv)
-    if found.chunk_average < 64:
-        p.error("--chunk-average must be 64 at least")
+    if found.leaf_bytes < 1:
+        p.error("--leaf-bytes must be positive")
+    if found.avg_chunk_bytes < 64:
+        p.error("--avg-chunk-bytes must be at least 64")
     return found
 
 
@@ -33,8 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     a = arguments(argv)
     spark = local_session()
     if a.corpus_manifest:
-        rows = runner.run_corpus(manifests.read_pairs(spark, a.corpus_manifest), average=a.chunk_average)
-        print(json.dumps([r.asDict() for r in rows.collect()], indent=1))
-        return
-    config = Config(Kind(a.workload), a.branches, a.base_bytes, a.edit_bytes, a.read_bytes, a.samples, a.seed)
-    print(json.dumps(runner.run_workload(spark, config, a.chunk_average), indent=1))
+        found = runner.run_corpus(manifests.read_pairs(spark, a.corpus_manifest), average=a.avg_chunk_bytes, read_bytes=a.read_bytes, verify_samples=a.verify_samples, leaf=a.leaf_bytes)
+    else:
+        config = Config(Kind(a.workload), a.branches, a.base_bytes, a.edit_bytes, a.read_bytes, a.verify_samples, a.seed)
+        found = runner.run_workload(spark, config, a.avg_chunk_bytes, a.leaf_bytes)
+    print(json.dumps(found, indent=1))

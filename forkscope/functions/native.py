@@ -1,16 +1,17 @@
-"""Arrow UDFs for what SQL expressions can't hold: wrapping multiplication, byte comparison, chunk boundaries, packs."""
+"""Arrow UDFs for what SQL expressions can't hold: wrapping multiplication, byte comparison, chunk boundaries, packs, composed edits."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-
 def arrow(kind: str):
     """A pandas UDF that is made when it is first used in a query: workers import this module without a session."""
 
@@ -263,3 +264,90 @@ def delta_size(level: int = 19):
         return pd.Series([one(a, b) for a, b in zip(base, child)])
 
     return size
+
+
+# -- composed edits: an edit, or a whole way of edits, as the list of slices that make up the result ---------------------------
+
+#: Source of a slice of the state that a way begins with; any other source is the version whose edit inserts the slice. A list is flat: source, place, length, and so on.
+ABOVE = -(1 << 63)
+#: Source of a slice of a root's base payload.
+BASE = ABOVE + 1
+#: Length of a last slice that goes on to the end, whatever that is.
+REST = 1 << 60
+
+
+def composed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The slices (rows of source, place, length) of `then` after `first`: what it takes from above is looked up in first, all at once."""
+    then = then[then[:, 2] > 0]
+    ends = np.cumsum(first[:, 2])
+    starts = ends - first[:, 2]
+    whole = int(ends[-1]) if len(ends) else 0
+    up = then[:, 0] == ABOVE
+    lo = np.minimum(then[:, 1], whole)
+    hi = np.where(then[:, 2] >= REST // 2, whole, np.minimum(lo + then[:, 2], whole))
+    a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
+    many = np.where(up, np.maximum(b - a, 0), 1)
+    if not many.sum():
+        return then[:0]
+    own = np.repeat(np.arange(len(then)), many)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.where(up, a, 0), many)
+    out = then[own]
+    at = np.flatnonzero(up[own])
+    k, own = k[at], own[at]
+    low, high = np.maximum(lo[own], starts[k]), np.minimum(hi[own], ends[k])
+    out[at, 0], out[at, 1], out[at, 2] = first[k, 0], first[k, 1] + low - starts[k], high - low
+    out[out[:, 2] >= REST // 2, 2] = REST
+    # Neighbours in one source are one slice again.
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:, 0] != out[:-1, 0]) | (out[1:, 1] != out[:-1, 1] + out[:-1, 2])
+    head = np.flatnonzero(new)
+    sizes = np.add.reduceat(out[:, 2], head)
+    out = out[head]
+    out[:, 2] = np.where(sizes >= REST // 2, REST, sizes)
+    return out
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The slices of each row; a null list has none."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b].reshape(-1, 3) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _column(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([3 * len(x) for x in lists])]).astype(np.int32)
+    flat = np.concatenate([x.reshape(-1) for x in lists]) if lists else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
+
+
+def compose_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: the last two columns, the slices of the way above and of the own way, become one."""
+    for batch in batches:
+        rest = batch.columns[:-2]
+        lists = [composed(a, b) for a, b in zip(_lists(batch.column(batch.num_columns - 2)), _lists(batch.column(batch.num_columns - 1)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*rest, _column(lists)], [*batch.schema.names[:-2], "slices"])
+
+
+def resolve_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from version_id, root_id, base_len, slices: one row per slice of each version, the rest of the base cut to its length."""
+    for batch in batches:
+        versions, roots, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        lists = [composed(np.array([[BASE, 0, n]]), x) for n, x in zip(sizes.tolist(), _lists(batch.column(3)), strict=True)]
+        many = np.array([len(x) for x in lists], np.int64)
+        flat = np.concatenate([np.zeros((0, 3), np.int64), *lists])
+        ends = np.cumsum(flat[:, 2])
+        firsts = np.cumsum(many) - many
+        before = np.repeat(np.where(firsts > 0, np.concatenate([[0], ends])[firsts], 0), many)
+        base = flat[:, 0] == BASE
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(versions, many)), pa.array((np.arange(len(flat)) - np.repeat(firsts, many)).astype(np.int32)), pa.array(ends - flat[:, 2] - before),
+                pa.array(base), pa.array(np.where(base, np.repeat(roots, many), flat[:, 0])), pa.array(flat[:, 1]), pa.array(flat[:, 2]),
+            ],
+            ["version_id", "ordinal", "ver_start", "of_base", "source", "buf_start", "len"],
+        )
+
+
+@arrow("binary")
+def together(parts: pd.Series) -> pd.Series:
+    """An array of byte strings as one, in time in proportion to its size."""
+    return parts.map(lambda v: b"".join(v) if v is not None else None)

@@ -23,14 +23,10 @@ def delta_log(versions: DataFrame, edits: DataFrame, replayed: DataFrame, every:
 def restored(versions: DataFrame, log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """version_id, state of all versions from the two tables alone: the nearest snapshot above, and the edits since."""
     kept = snapshots.select("version_id", F.col("version_id").alias("kept"))
-    # Cut the graph at the snapshots: each becomes a root of its own, so scripts are short.
+    # Cut the graph at the snapshots: each becomes a root of its own, so ways are short.
     cut = versions.join(kept, "version_id", "left")
-    cut = cut.select("version_id", F.when(F.col("kept").isNull(), F.col("parent_id")).alias("parent_id"))
-    paths = v.lineages(cut.withColumn("root_id", F.lit(0).cast("long")))
-    top = log.select(F.col("version_id").alias("step"), "parent_id")
-    roots = paths.select("version_id", F.when(F.size("path") > 0, F.get("path", F.lit(0))).alias("step"))
-    roots = roots.join(top, "step", "left").select("version_id", F.coalesce("parent_id", "version_id").alias("root_id"))
-    graph = cut.join(roots, "version_id")
+    cut = cut.select("version_id", F.when(F.col("kept").isNull(), F.col("parent_id")).alias("parent_id"), F.lit(0).cast("long").alias("root_id"))
+    graph = v.ways(cut).select("version_id", F.col("top").alias("root_id")).join(cut.drop("root_id"), "version_id")
     edits = log.select("version_id", native.decoded_edit("edit").alias("e")).select("version_id", "e.*")
     return v.replayed(graph, edits, snapshots.select(F.col("version_id").alias("root_id"), F.col("state").alias("payload"))).select("version_id", "state")
 

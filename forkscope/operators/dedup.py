@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.native import chunks_udf
+from ..functions.native import chunks_udf, together
 
 #: Bytes of a chunk's and of a manifest entry's bookkeeping.
 CHUNK_HEAD, REFERENCE = 16, 16
@@ -41,6 +41,18 @@ def chunk_pool(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("digest").agg(F.any_value("len").alias("len"), F.count("*").alias("uses"))
 
 
+def chunk_store(manifest: DataFrame, states: DataFrame, key: str, payload: str) -> DataFrame:
+    """digest, payload: the bytes of each distinct chunk, cut from one state that holds it."""
+    one = manifest.groupBy("digest").agg(F.min(F.struct(key, "start", "len")).alias("at")).select("digest", "at.*")
+    return one.join(states.select(key, payload), key).select("digest", F.substring(payload, (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("payload"))
+
+
+def rebuilt(manifest: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """key, state: the states of a manifest put together again from stored chunks; a state without chunks is not among them."""
+    rows = manifest.join(store, "digest").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "payload"))), lambda c: c["payload"]).alias("parts"))
+    return rows.select(key, together("parts").alias("state"))
+
+
 def chunk_at(manifest: DataFrame, key: str, offsets: DataFrame, offset: str) -> DataFrame:
     """offsets (key, offset) with the chunk that holds each."""
     return offsets.join(manifest, key).where((F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("start") + F.col("len")))

@@ -5,54 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import native
 from ..storage import stored
-from .versions import lineages
-
-PIECE = "array<struct<buffer:bigint, at:bigint, len:bigint>>"
+from . import versions as v
 
 
 def piece_tables(versions: DataFrame, edits: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pieces, buffers).
 
     pieces: version_id, ordinal, ver_start, buffer_id, buf_start, len.
-    buffers: buffer_id, len, payload; one per distinct payload.
+    buffers: buffer_id, len, payload; one per distinct payload, named by its SHA-256.
 
     A child's list is its parent's clipped to what comes before the edit, the
-    insert, and the parent's clipped to what comes after; each version folds
-    its lineage of edits. Only lists of numbers move; payloads stay where they are.
+    insert, and the parent's clipped to what comes after. The lists are composed
+    along the graph as numbers alone; payloads stay where they are. A version
+    with an edit out of bounds on its way has no pieces.
     """
-    payloads = bases.select(F.col("payload")).union(edits.select(F.col("insert"))).where(F.octet_length("payload") > 0)
-    digest = F.sha2("payload", 256)
-    buffers = payloads.groupBy(digest.alias("digest")).agg(F.any_value("payload").alias("payload"))
-    buffers = stored(buffers.select(F.xxhash64("digest").alias("buffer_id"), "digest", F.octet_length("payload").cast("long").alias("len"), "payload"), "buffers")
-    number = F.xxhash64(F.sha2(F.col("payload"), 256))
-    whole = F.when(F.octet_length("payload") > 0, F.array(F.struct(number.alias("buffer"), F.lit(0).cast("long").alias("at"), F.octet_length("payload").cast("long").alias("len")))).otherwise(F.array()).cast(PIECE)
-    def clipped(pieces, lo, hi):
-        """Pieces inside [lo, hi) of the version; their places are the sums of the lengths before."""
-        placed = F.aggregate(
-            pieces, F.struct(F.lit(0).cast("long").alias("n"), F.array().cast(PIECE).alias("out")),
-            lambda a, p: F.struct((a["n"] + p["len"]).alias("n"), F.when(
-                (a["n"] < hi) & (a["n"] + p["len"] > lo),
-                F.concat(a["out"], F.array(F.struct(p["buffer"].alias("buffer"), (p["at"] + F.greatest(lo - a["n"], F.lit(0))).alias("at"), (F.least(hi, a["n"] + p["len"]) - F.greatest(lo, a["n"])).alias("len")))),
-            ).otherwise(a["out"]).alias("out")),
-        )
-        return placed["out"]
+    _, slices = v.sliced(versions, edits, bases)
+    named = v.payloads(edits, bases).withColumn("buffer_id", F.sha2("payload", 256))
+    buffers = stored(named.groupBy("buffer_id").agg(F.any_value("payload").alias("payload")).select("buffer_id", F.octet_length("payload").cast("long").alias("len"), "payload"), "buffers")
+    pieces = slices.join(named.drop("payload"), ["of_base", "source"]).select("version_id", "ordinal", "ver_start", "buffer_id", "buf_start", "len")
+    return stored(pieces, "pieces"), buffers
+
 
-    paths = lineages(versions)
-    given = edits.select(F.col("version_id").alias("step"), F.col("start").cast("long").alias("first"), (F.col("start") + F.col("delete_len")).cast("long").alias("after"), F.col("insert").alias("payload")).withColumn("own", whole)
-    each = F.struct("seq", "first", "after", "own")
-    steps = paths.select("version_id", F.posexplode("path").alias("seq", "step")).join(given.drop("payload"), "step")
-    scripts = steps.groupBy("version_id").agg(F.array_sort(F.collect_list(each)).alias("script"))
-    roots = bases.select("root_id", whole.alias("pieces"))
-    none = F.array().cast(f"array<struct<seq:int, first:bigint, after:bigint, own:{PIECE}>>")
-    rows = paths.join(scripts, "version_id", "left").join(roots, "root_id").select("version_id", "pieces", F.coalesce("script", none).alias("script"))
-    zero, end = F.lit(0).cast("long"), F.lit(2**62)
-    fold = F.aggregate("script", F.col("pieces"), lambda p, e: F.concat(clipped(p, zero, e["first"]), e["own"], clipped(p, e["after"], end)))
-    every = rows.select("version_id", fold.alias("pieces"))
-    before = F.sum("p.len").over(Window.partitionBy("version_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    rows = every.select("version_id", F.posexplode("pieces").alias("ordinal", "p"))
-    pieces = rows.select("version_id", "ordinal", F.coalesce(before, F.lit(0)).cast("long").alias("ver_start"), F.col("p.buffer").alias("buffer_id"), F.col("p.at").alias("buf_start"), F.col("p.len").alias("len"))
-    return stored(pieces, "pieces"), buffers.select("buffer_id", "len", "payload")
+def cut(pieces: DataFrame, leaf: int) -> DataFrame:
+    """pieces in leaves of so many bytes at most."""
+    if leaf < 1:
+        raise ValueError("a leaf has one byte at least")
+    rows = pieces.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(leaf).cast("long"))))
+    size = F.least(F.lit(leaf).cast("long"), F.col("len") - F.col("part"))
+    rows = rows.select("version_id", F.col("ordinal").alias("__o"), "part", (F.col("ver_start") + F.col("part")).alias("ver_start"), "buffer_id", (F.col("buf_start") + F.col("part")).alias("buf_start"), size.alias("len"))
+    ordinal = (F.row_number().over(Window.partitionBy("version_id").orderBy("__o", "part")) - 1).cast("int")
+    return rows.select("version_id", ordinal.alias("ordinal"), "ver_start", "buffer_id", "buf_start", "len")
 
 
 def read_ranges(reads: DataFrame, pieces: DataFrame, buffers: DataFrame) -> DataFrame:
@@ -61,8 +45,8 @@ def read_ranges(reads: DataFrame, pieces: DataFrame, buffers: DataFrame) -> Data
     lo, hi = F.greatest("read_start", "ver_start"), F.least(F.col("read_start") + F.col("read_len"), F.col("ver_start") + F.col("len"))
     cut = hit.select("version_id", "read_start", "read_len", "ordinal", "buffer_id", (F.col("buf_start") + lo - F.col("ver_start") + 1).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
     slices = cut.join(buffers.select("buffer_id", "payload"), "buffer_id").select("version_id", "read_start", "read_len", F.struct("ordinal", F.substring("payload", F.col("at"), F.col("n")).alias("bytes")).alias("s"))
-    whole = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(b""), lambda a, s: F.concat(a, s["bytes"]))
-    read = slices.groupBy("version_id", "read_start", "read_len").agg(whole.alias("bytes"))
+    parts = F.transform(F.array_sort(F.collect_list("s")), lambda s: s["bytes"])
+    read = slices.groupBy("version_id", "read_start", "read_len").agg(parts.alias("parts")).select("version_id", "read_start", "read_len", native.together("parts").alias("bytes"))
     return reads.join(read, ["version_id", "read_start", "read_len"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
 
 

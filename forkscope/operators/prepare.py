@@ -11,18 +11,13 @@ from .ranks import ranked
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows with turn (0, 1, ... within its group) and place: one row of each group in turn, groups by first appearance.
 
-    No sort of everything: turns are counted from the group sizes. A turn's
-    first place is the number of rows in earlier turns, and within a turn a
-    group comes after the groups that appeared before it and are large enough.
-    Both are sums over the table of groups, one row a repository.
+    A row's place is its rank by turn and its group's first appearance. Both
+    ranks are taken by ranges, so neither a group nor a turn meets in one task.
+    Pass the key columns only and join the rest back.
     """
-    rows = ranked(rows, [group], [order], "turn")
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.min(order).alias("first"))
-    table = sizes.orderBy("first").select("first", "size").collect()  # one row a repository
-    firsts = F.array(*[F.struct(F.lit(g["first"]).alias("first"), F.lit(g["size"]).alias("size")) for g in table]) if table else F.array().cast("array<struct<first:bigint,size:bigint>>")
-    earlier = F.aggregate(firsts, F.lit(0).cast("long"), lambda a, g: a + F.least(g["size"], F.col("turn")))
-    before = F.aggregate(firsts, F.lit(0).cast("long"), lambda a, g: a + ((g["size"] > F.col("turn")) & (g["first"] < F.col("first"))).cast("long"))
-    return rows.join(sizes.select(group, "first"), group).withColumn("place", earlier + before).drop("first")
+    firsts = rows.groupBy(F.col(group).alias("__g")).agg(F.min(order).alias("__first"))
+    turns = ranked(rows, [group], [order], "turn").join(firsts, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    return ranked(turns, [], ["turn", "__first"], "place").drop("__first")
 
 
 def selected(rows: DataFrame, selection: str, group: str, order: str, offset: int, limit: int) -> DataFrame:

@@ -10,38 +10,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import states
+from ..functions import native, states
 from ..storage import stored
 
 
-def lineages(versions: DataFrame) -> DataFrame:
-    """version_id, root_id, depth, path: the versions from the first edit down to itself.
+def ways(versions: DataFrame, edits: DataFrame | None = None, slices: bool = False) -> DataFrame:
+    """version_id, root_id, top, depth, change, need, bad: the way of edits from the topmost version above each version.
 
-    Pointer doubling: after round r a path reaches 2**r versions up, so the
-    deepest chain takes log2 of its length rounds. A root is a version without
-    parent; its path is empty. Each round is stored, which keeps plans short.
+    change: bytes by which the way lengthens a state; need: bytes that a state
+    must have for all edits of the way to lie inside; bad: whether an edit on it
+    has a null or negative part. With slices also the way itself: what it makes,
+    as slices of the state it begins with and of inserts; numbers only, no bytes.
+
+    Pointer doubling: after round r a way reaches 2**r versions up, so the
+    deepest chain takes log2 of its length rounds, and a round composes two ways
+    each. No version ever holds the list of its ancestors. Each round is stored,
+    and only ways that have not reached their top go on.
+    """
+    own = [F.lit(0).cast("long").alias("change"), F.lit(0).cast("long").alias("need"), F.lit(False).alias("bad")]
+    same = F.array(F.lit(native.ABOVE), F.lit(0).cast("long"), F.lit(native.REST))
+    rows = versions.select("version_id", "root_id", F.col("parent_id").alias("up"))
+    if edits is not None:
+        start, gone, new = F.col("start").cast("long"), F.col("delete_len").cast("long"), F.octet_length("insert").cast("long")
+        need = F.try_add(start, gone)
+        bad = ~F.coalesce((start >= 0) & (gone >= 0) & need.isNotNull() & new.isNotNull(), F.lit(False))
+        none = F.array().cast("array<bigint>")
+        parts = F.concat(
+            F.when(start > 0, F.array(F.lit(native.ABOVE), F.lit(0).cast("long"), start)).otherwise(none),
+            F.when(new > 0, F.array(F.col("version_id").cast("long"), F.lit(0).cast("long"), new)).otherwise(none),
+            F.array(F.lit(native.ABOVE), need, F.lit(native.REST)),
+        )
+        way = edits.select("version_id", (new - gone).alias("change"), need.alias("need"), bad.alias("bad"), F.when(bad, same).otherwise(parts).alias("slices"), F.lit(True).alias("there"))
+        rows = rows.join(way if slices else way.drop("slices"), "version_id", "left")
+        known = F.col("there") & F.col("up").isNotNull()
+        own = [F.when(known & ~F.col("bad"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c) for c in ("change", "need")]
+        own.append(F.coalesce(known & F.col("bad"), F.lit(False)).alias("bad"))
+    path = [F.coalesce(F.when(known, F.col("slices")), same).alias("slices")] if slices and edits is not None else [same.alias("slices")] if slices else []
+    depth = F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("depth")
+    now = stored(rows.select("version_id", "root_id", "up", F.when(F.col("up").isNull(), F.col("version_id")).alias("top"), depth, *own, *path), "ways")
+    done, going = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    names = ["top", "depth", "change", "need", "bad", *(["slices"] if slices else [])]
+    while going.limit(1).count():
+        above = done.unionByName(going).select(F.col("version_id").alias("up"), F.col("up").alias("next"), F.lit(True).alias("met"), *[F.col(c).alias(f"above_{c}") for c in names])
+        both = going.drop("top").join(above, "up", "left").select(
+            "version_id", "root_id", F.col("next").alias("up"), F.col("above_top").alias("top"), (F.col("depth") + F.coalesce("above_depth", F.lit(0))).alias("depth"),
+            (F.col("change") + F.coalesce("above_change", F.lit(0))).alias("change"), F.greatest(F.coalesce("above_need", F.lit(0)), F.col("need") - F.coalesce("above_change", F.lit(0))).cast("long").alias("need"),
+            (F.col("bad") | F.coalesce("above_bad", F.lit(False))).alias("bad"), *([F.coalesce("above_slices", same).alias("above_slices"), "slices"] if slices else []),
+        )
+        now = stored(both.mapInArrow(native.compose_columns, now.schema) if slices else both, "ways")
+        done, going = done.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL")
+    return done.drop("up")
+
+
+def _fits(strict: bool) -> Column:
+    """Whether all edits of a way (need, bad) lie inside the states they are applied to, from a base of base_len bytes; an error if strict."""
+    good = ~F.col("bad") & (F.col("need") <= F.col("base_len"))
+    return F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("edit/range out of bounds on the way to version "), F.col("version_id").cast("string"), F.lit(": len="), (F.col("base_len")).cast("string"), F.lit(" where the edits need "), F.col("need").cast("string"))).cast("boolean") if strict else F.lit(False))
+
+
+def sliced(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(heads, slices): version_id, root_id, depth, len, fits of each version, and what each is made of.
+
+    slices: version_id, ordinal, ver_start, of_base, source, buf_start, len;
+    the source is a root_id (of_base) or the version whose edit inserts the slice.
+    A version with an edit out of bounds on its way does not fit and has none.
     """
-    edited = F.col("parent_id").isNotNull()
-    now = versions.select("version_id", "root_id", F.col("parent_id").alias("up"), F.when(edited, F.array("version_id")).otherwise(F.array().cast("array<bigint>")).alias("path"))
-    while True:
-        now = stored(now, "lineage")
-        if not now.where("up IS NOT NULL").limit(1).count():
-            return now.select("version_id", "root_id", F.size("path").alias("depth"), "path")
-        above = now.select(F.col("version_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        joined = now.join(above, "up", "left")
-        now = joined.select("version_id", "root_id", F.col("next").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
+    sized = bases.select("root_id", states.state_len("payload").alias("base_len"))
+    rows = ways(versions, edits, slices=True).join(sized, "root_id").withColumn("fits", _fits(strict))
+    heads = rows.select("version_id", "root_id", "depth", F.when(F.col("fits"), F.col("base_len") + F.col("change")).alias("len"), "fits")
+    each = rows.where("fits").select(F.col("version_id").cast("long").alias("version_id"), F.col("root_id").cast("long").alias("root_id"), F.col("base_len").cast("long").alias("base_len"), "slices")
+    return heads, each.mapInArrow(native.resolve_columns, "version_id long, ordinal int, ver_start long, of_base boolean, source long, buf_start long, len long")
+
+
+def payloads(edits: DataFrame, bases: DataFrame) -> DataFrame:
+    """of_base, source, payload: the bytes that slices name."""
+    own = edits.select(F.lit(False).alias("of_base"), F.col("version_id").cast("long").alias("source"), F.col("insert").alias("payload"))
+    return bases.select(F.lit(True).alias("of_base"), F.col("root_id").cast("long").alias("source"), "payload").union(own).where(F.octet_length("payload") > 0)
 
 
 def replayed(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bool = False) -> DataFrame:
-    """version_id, root_id, depth, state: each version's bytes, its script folded over the base of its root."""
-    paths = lineages(versions)
-    steps = paths.select("version_id", F.posexplode("path").alias("seq", "step"))
-    given = edits.select(F.col("version_id").alias("step"), "start", "delete_len", "insert")
-    each = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("delete_len").cast("long").alias("delete_len"), "insert")
-    scripts = steps.join(given, "step").groupBy("version_id").agg(F.array_sort(F.collect_list(each)).alias("script"))
-    rows = paths.join(scripts, "version_id", "left").join(bases.select("root_id", "payload"), "root_id")
-    fold = F.aggregate(F.coalesce("script", F.array().cast("array<struct<seq:int,start:bigint,delete_len:bigint,insert:binary>>")), F.col("payload"), lambda a, e: states.splice(a, e["start"], e["delete_len"], e["insert"], strict))
-    return rows.select("version_id", "root_id", "depth", fold.alias("state"))
+    """version_id, root_id, depth, state: each version's bytes, put together from the slices that its way leaves.
+
+    A payload is read once and only the slices of it that a version still has
+    are moved: the shuffle is as large as the states, however deep the graph.
+    """
+    heads, slices = sliced(versions, edits, bases, strict)
+    bytes_of = F.substring("payload", (F.col("buf_start") + 1).cast("int"), F.col("len").cast("int"))
+    cut = slices.join(payloads(edits, bases), ["of_base", "source"]).select("version_id", F.struct("ordinal", bytes_of.alias("bytes")).alias("s"))
+    whole = cut.groupBy("version_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["bytes"]).alias("parts")).select("version_id", native.together("parts").alias("state"))
+    state = F.when(F.col("fits"), F.coalesce("state", F.lit(b"")))
+    return heads.join(whole, "version_id", "left").select("version_id", "root_id", "depth", state.alias("state"))
 
 
 def append_history(turns: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
@@ -56,12 +114,9 @@ def append_history(turns: DataFrame, key: str, order: str, payload: Column) -> D
 
 
 def lengths(versions: DataFrame, edits: DataFrame, bases: DataFrame) -> DataFrame:
-    """version_id, len of every version from the edits' sizes alone: no payload but the bases' is read."""
-    paths = lineages(versions)
-    change = edits.select(F.col("version_id").alias("step"), (states.state_len("insert") - F.col("delete_len")).alias("change"))
-    sums = paths.select("version_id", F.explode("path").alias("step")).join(change, "step").groupBy("version_id").agg(F.sum("change").alias("change"))
-    sized = bases.select("root_id", states.state_len("payload").alias("base_len"))
-    return paths.join(sums, "version_id", "left").join(sized, "root_id").select("version_id", (F.col("base_len") + F.coalesce("change", F.lit(0))).cast("long").alias("len"))
+    """version_id, len of every version from the edits' sizes alone: no payload but the bases' is read. Null where an edit is out of bounds."""
+    rows = ways(versions, edits).join(bases.select("root_id", states.state_len("payload").alias("base_len")), "root_id")
+    return rows.select("version_id", F.when(_fits(False), F.col("base_len") + F.col("change")).cast("long").alias("len"))
 
 
 def sample_indices(total: Column, samples: int) -> Column:

@@ -130,8 +130,8 @@ def script_fold(spark, sf_dir):
 
 
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every document after the first of its source is a version: its parent is an earlier one of the source, its edit inserts its first 40 characters."""
-    docs = snapshots(spark, sf_dir).withColumn("text", F.col("state").cast("string"))
+    """Every document after the first of its source is a version: its parent is an earlier one of the source, its edit inserts its whole text."""
+    docs = snapshots(spark, sf_dir)
     ids = stored(ranked(docs.select("doc_id", "source"), ["source"], ["doc_id"], "k"), "ids")
     ids = ids.withColumn("up", F.when(F.col("k") > 0, (F.col("k") * 7919 % 10007) % F.col("k")))
     above = ids.select("source", F.col("k").alias("up"), F.col("doc_id").alias("parent_id"))
@@ -141,14 +141,14 @@ def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     start, size = F.col("doc_id") * 131 % 64, F.col("doc_id") % 11
     return {
         "version": rows.select(F.col("doc_id").alias("version_id"), "parent_id", "root_id"),
-        "edit": rows.where("parent_id IS NOT NULL").select(F.col("doc_id").alias("version_id"), start.alias("start"), size.alias("delete_len"), F.substring("text", 1, 40).cast("binary").alias("insert")),
+        "edit": rows.where("parent_id IS NOT NULL").select(F.col("doc_id").alias("version_id"), start.alias("start"), size.alias("delete_len"), F.col("state").alias("insert")),
         "base": rows.where("parent_id IS NULL").select("root_id", F.concat("state", F.lit("." * 80).cast("binary")).alias("payload")),
     }
 
 
-GRAPH = DOCS + """, k AS (SELECT *, decode(state) AS txt, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM d),
+GRAPH = DOCS + """, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM d),
 u AS (SELECT *, CASE WHEN k > 0 THEN ((k * 7919) % 10007) % k END AS up, min(doc_id) OVER (PARTITION BY source) AS root_id FROM k),
-g AS (SELECT a.doc_id, a.root_id, a.state, b.doc_id AS parent_id, (a.doc_id * 131) % 64 AS start, a.doc_id % 11 AS delete_len, encode(substring(a.txt, 1, 40)) AS ins FROM u a LEFT JOIN u b ON a.source = b.source AND a.up = b.k),
+g AS (SELECT a.doc_id, a.root_id, a.state, b.doc_id AS parent_id, (a.doc_id * 131) % 64 AS start, a.doc_id % 11 AS delete_len, a.state AS ins FROM u a LEFT JOIN u b ON a.source = b.source AND a.up = b.k),
 t AS (WITH RECURSIVE t(version_id, root_id, depth, state) AS (
   SELECT doc_id, root_id, 0, state || encode(repeat('.', 80)) FROM g WHERE parent_id IS NULL
   UNION ALL SELECT g.doc_id, g.root_id, t.depth + 1, t.state[1:g.start] || g.ins || t.state[g.start + least(g.delete_len, octet_length(t.state) - g.start) + 1 : octet_length(t.state)] FROM t JOIN g ON g.parent_id = t.version_id
@@ -343,19 +343,52 @@ def edit_ordering(spark, sf_dir):
     return corpus.ordered(rows, "pair").select("pair", F.size("script").alias("hunks"), F.array_join(F.transform("script", text), " ").alias("script"))
 
 
-@query(f"""
-WITH {DOCS}, e AS (SELECT source, encode(doc_id::VARCHAR) AS path, state FROM d)
-SELECT source, count(*) AS entries, sum(octet_length(state))::BIGINT AS content_bytes, (27 + sum(17 + octet_length(path) + octet_length(state)))::BIGINT AS pack_bytes, md5(string_agg(md5(state), '' ORDER BY path)) AS contents_md5 FROM e GROUP BY source
-""")
-def pack_round_trip(spark, sf_dir):
-    """All documents of a source written to one pack, parsed again."""
-    docs = snapshots(spark, sf_dir).select("source", F.lit(native.FILE).alias("kind"), F.lit(0o644).alias("mode"), F.col("doc_id").cast("string").cast("binary").alias("path"), F.col("state").alias("content"))
-    packs = stored(manifests.packs(docs, "source"), "packs")
-    rows = corpus.entries(packs, "source", "pack").groupBy("source").agg(
+#: Documents of a pack at most.
+PACKED = 64
+
+
+def pack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, block, pack: the documents of a source in blocks of neighbouring ids, each by its place in its block."""
+    docs = snapshots(spark, sf_dir)
+    entry = docs.select("source", F.expr(f"doc_id div {PACKED}").alias("block"), F.lit(native.FILE).alias("kind"), F.lit(0o644).alias("mode"), (F.col("doc_id") % PACKED).cast("string").cast("binary").alias("path"), F.col("state").alias("content"))
+    key = F.concat_ws("/", "source", F.col("block").cast("string"))
+    return manifests.packs(entry.withColumn("pack_id", key), "pack_id").withColumn("block", F.substring_index("pack_id", "/", -1).cast("long")).withColumn("source", F.expr("left(pack_id, length(pack_id) - length(cast(block as string)) - 1)"))
+
+
+def contents(entries: DataFrame, key: str) -> DataFrame:
+    """Number, bytes and digest of the contents of each key's entries."""
+    return entries.groupBy(key).agg(
         F.count("*").alias("entries"), F.sum(states.state_len("content")).alias("content_bytes"), F.max("end").alias("pack_bytes"),
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.md5("content").alias("m")))), lambda x: x["m"]), "")).alias("contents_md5"),
     )
-    return rows
+
+
+PACKS = DOCS + f""", e AS (SELECT source, doc_id // {PACKED} AS block, source || '/' || (doc_id // {PACKED}) AS pack_id, encode((doc_id % {PACKED})::VARCHAR) AS path, state FROM d),
+c AS (SELECT pack_id, source, block, count(*) AS entries, sum(octet_length(state))::BIGINT AS content_bytes, (27 + sum(17 + octet_length(path) + octet_length(state)))::BIGINT AS pack_bytes, md5(string_agg(md5(state), '' ORDER BY path)) AS contents_md5 FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH {PACKS} SELECT pack_id, entries, content_bytes, pack_bytes, contents_md5 FROM c")
+def pack_round_trip(spark, sf_dir):
+    """All documents written to packs, parsed again."""
+    packs = stored(pack_tables(spark, sf_dir), "packs")
+    return contents(corpus.entries(packs, "pack_id", "pack"), "pack_id")
+
+
+@query(f"""
+WITH {PACKS}, b AS (SELECT c.pack_id, p.pack_id AS before, p.entries AS base_entries FROM c JOIN c p ON c.source = p.source AND c.block = p.block + 1),
+k AS (SELECT coalesce(x.pack_id, y.pack_id) AS pack_id, coalesce(x.path, y.path) AS path, CASE WHEN x.path IS NULL THEN 'a' WHEN y.path IS NULL THEN 'd' WHEN x.state <> y.state THEN 'm' ELSE 'c' END AS side
+ FROM (SELECT b.pack_id, e.path, e.state FROM b JOIN e ON e.pack_id = b.before) x FULL JOIN (SELECT b.pack_id, e.path, e.state FROM b JOIN e ON e.pack_id = b.pack_id) y ON y.pack_id = x.pack_id AND y.path = x.path),
+g AS (SELECT pack_id, side, sum((side IN ('c', 'm'))::INT) OVER (PARTITION BY pack_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS gap FROM k),
+h AS (SELECT pack_id, count(DISTINCT gap) FILTER (side IN ('a', 'd')) + count(*) FILTER (side = 'm') AS hunks FROM g GROUP BY pack_id)
+SELECT pack_id, (h.hunks + (b.base_entries <> c.entries)::INT)::INTEGER AS hunks, c.entries, c.content_bytes, c.pack_bytes, c.contents_md5 FROM b JOIN c USING (pack_id) JOIN h USING (pack_id)
+""")
+def pack_edits(spark, sf_dir):
+    """Each pack derived from the one of the block before, file by file, and parsed again after its script."""
+    packs = stored(pack_tables(spark, sf_dir), "packs")
+    before = packs.select("source", (F.col("block") + 1).alias("block"), F.col("pack").alias("base"))
+    pairs = stored(packs.select("source", "block", "pack_id", F.col("pack").alias("child")).join(before, ["source", "block"]).select("pack_id", "base", "child"), "pairs")
+    scripts = stored(corpus.derived(pairs, "pack_id").select("pack_id", "script", states.apply_script("base", "script").alias("made")), "scripts")
+    return contents(corpus.entries(scripts, "pack_id", "made"), "pack_id").join(scripts.select("pack_id", F.size("script").alias("hunks")), "pack_id").select("pack_id", "hunks", "entries", "content_bytes", "pack_bytes", "contents_md5")
 
 
 @query(r"""
@@ -412,13 +445,15 @@ def sample_indices(spark, sf_dir):
 
 @query(f"WITH {GRAPH} SELECT count(*) AS versions, 0::BIGINT AS mismatches FROM t")
 def equivalence(spark, sf_dir):
-    """States replayed from edits against states read whole from piece tables."""
+    """States replayed from edits against states read whole from piece tables and states put together from stored chunks."""
     t = graph(spark, sf_dir)
-    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]), "flat")
+    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]), "flat").select("version_id", "state")
     piece, buffers = pieces.piece_tables(t["version"], t["edit"], t["base"])
     whole = flat.select("version_id", F.lit(0).cast("long").alias("read_start"), states.state_len("state").alias("read_len"))
     read = pieces.read_ranges(whole, piece, buffers).select("version_id", F.col("bytes").alias("state"))
-    wrong = versions.mismatches(flat.select("version_id", "state"), read).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
+    manifest = stored(dedup.chunk_manifest(flat, "version_id", "state", 256), "manifest")
+    chunked = dedup.rebuilt(manifest, dedup.chunk_store(manifest, flat, "version_id", "state"), "version_id")
+    wrong = versions.mismatches(flat, read).union(versions.mismatches(flat, chunked)).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
     return flat.agg(F.count("*").alias("versions")).withColumn("k", F.lit(0)).join(wrong, "k").select("versions", "mismatches")
 
 

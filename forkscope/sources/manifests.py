@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import chain, islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native
+from ..storage import new_path
 
 
 def parsed(lines: DataFrame, line: str = "value", number: str | None = None, root: str = "") -> DataFrame:
@@ -24,19 +27,34 @@ def parsed(lines: DataFrame, line: str = "value", number: str | None = None, roo
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Fails if the manifest has no case."""
-    rows = parsed(spark.read.text(path), root=path.rsplit("/", 1)[0] if "/" in path else "")
+    """The manifest is one file, read as one row so that an error can name its line. Fails if it has no case."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")).select("value", (F.col("at") + 1).alias("number"))
+    rows = parsed(lines, number="number", root=path.rsplit("/", 1)[0] if "/" in path else "")
     if not rows.limit(1).count():
         raise ValueError("the manifest has no case")
     return rows
 
 
+#: Files that are listed and read at once.
+LISTED = 10_000
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, base, child: the manifest's cases with the bytes of their files."""
+    """case_id, base, child: the manifest's cases with the bytes of their files. The driver holds LISTED paths at most."""
     cases = read_manifest(spark, path)
     plain = lambda p: F.regexp_replace(p, "^file:/*", "/")
-    wanted = [r[0] for r in cases.select(F.explode(F.array("base_path", "child_path"))).distinct().collect()]
-    files = spark.read.format("binaryFile").load(wanted).select(plain("path").alias("path"), "content")
+    wanted = (r[0] for r in cases.select(F.explode(F.array("base_path", "child_path"))).distinct().toLocalIterator())
+    folder, first, files = None, list(islice(wanted, LISTED)), None
+    read = lambda names: spark.read.format("binaryFile").load(names).select(plain("path").alias("path"), "content")
+    for names in chain([first], iter(lambda: list(islice(wanted, LISTED)), [])):
+        if len(names) < LISTED and folder is None:
+            files = read(names)
+            break
+        folder = folder or new_path(spark, "files")
+        files = read(names)
+        files.write.mode("append").parquet(folder)
+    files = spark.read.schema(files.schema).parquet(folder) if folder else files
     base = cases.withColumn("path", plain("base_path")).join(files, "path").select("case_id", F.col("content").alias("base"))
     child = cases.withColumn("path", plain("child_path")).join(files, "path").select("case_id", F.col("content").alias("child"))
     return base.join(child, "case_id")
@@ -49,7 +67,7 @@ def read_packs(spark: SparkSession, path: str, magic: bytes = native.PACK_MAGIC)
 
 
 def packs(entries: DataFrame, key: str, magic: bytes = native.PACK_MAGIC) -> DataFrame:
-    """key, pack: one pack per key of its entries (kind, mode, path, content)."""
+    """key, pack: one pack per key of its entries (kind, mode, path, content). A pack is one row: choose keys with a bounded number of entries."""
     each = F.struct(F.col("kind").cast("int").alias("kind"), F.col("mode").cast("long").alias("mode"), "path", "content")
     return entries.groupBy(key).agg(F.collect_list(each).alias("es")).select(key, native.packed(magic)("es").alias("pack"))
 

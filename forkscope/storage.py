@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends. A local session without setting gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("forkscope.local.shared", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="forkscope-shared-")
         spark.conf.set("forkscope.local.shared", folder)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forkscope.functions import native, states
-from forkscope.operators import corpus, dedup, prepare
+from forkscope.operators import corpus, dedup, pieces, prepare
 from forkscope.operators.ranks import ranked
 from forkscope.plans import runner
 from forkscope.sources import manifests
@@ -49,11 +49,44 @@ def test_cases_and_reads(spark):
     assert (got["c1"].read_len, got["c1"].read_start) == (0, 0)
 
 
-def test_run_corpus(spark):
-    rows = [(b"x" * 5000, b"x" * 4000 + b"y" * 100), (b"x" * 5000, b"x" * 5000)]
-    got = {(r.name, r.phase): r.retained_bytes for r in runner.run_corpus(pairs(spark, rows), average=256).collect()}
-    assert got[runner.FLAT, "final"] == 5000 * 3 + 4100 and got[runner.PIECES, "bases"] == 5000 and got[runner.PIECES, "final"] == 5100
-    assert got[runner.CHUNKS, "bases"] < 5000
+def test_run_corpus(spark, monkeypatch):
+    files = {f"{i:02}": b"%d" % i * 300 for i in range(9)}
+    rows = [(b"x" * 5000, b"x" * 4000 + b"y" * 100), (b"x" * 5000, b"x" * 5000), (pack(files), pack(files | {"03": b"new", "07": b"other", "99": b"more"})), (b"", b"")]
+    found = runner.run_corpus(pairs(spark, rows), average=256, read_bytes=64, verify_samples=2, leaf=100)
+    got = {r["name"]: r for r in found["reports"]}
+    a, b = len(rows[2][0]), len(rows[2][1])
+    assert found["cases"] == 4 and found["logical_bytes"] == 19_100 + a + b and got[runner.FLAT]["final_bytes"] == 19_100 + a + b
+    # Two files changed, one came, and the number of files.
+    assert found["edit_hunks"] == 5 and got[runner.PIECES]["base_bytes"] == 5000 + a and 5100 + a < got[runner.PIECES]["final_bytes"] < 5200 + a
+    assert got[runner.CHUNKS]["base_bytes"] < 10_000 + a and got[runner.CHUNKS]["lifetime_bytes"] > got[runner.CHUNKS]["final_bytes"]
+    assert len(found["verified_versions"]) == 2 and found["verified_versions"][-1] == 3 * runner.STEPS
+    h = native.FNV_START
+    for r in sorted(corpus.cases(corpus.derived(pairs(spark, rows), "case_id"), "case_id", 64).collect(), key=lambda r: r.case_id):
+        h = native.fnv1a(bytes(r.child)[r.read_start : r.read_start + r.read_len], h)
+    assert found["read_checksum"] == f"{h:016x}"
+    assert runner.run_corpus(pairs(spark, rows).limit(0))["cases"] == 0
+
+
+def test_differences_between_representations_are_found(spark):
+    flat = spark.createDataFrame([(i, bytes([i]) * 500, 500) for i in range(9)], "version_id long, state binary, len long")
+    version = spark.createDataFrame([(i, None, i) for i in range(9)], "version_id long, parent_id long, root_id long")
+    bases = flat.selectExpr("version_id AS root_id", "state AS payload")
+    none = spark.createDataFrame([], "version_id long, start long, delete_len long, insert binary")
+    piece, buffers = pieces.piece_tables(version, none, bases)
+    piece = pieces.cut(piece, 64)
+    assert piece.where("len > 64").count() == 0 and pieces.faults(piece, buffers, 64).count() == 0
+    manifest = dedup.chunk_manifest(flat, "version_id", "state", 64)
+    assert runner.verified(flat, piece, buffers, manifest, 3, 64) == [0, 4, 8]
+    other = buffers.withColumn("payload", F.overlay("payload", F.lit(b"?"), F.lit(7)))
+    with pytest.raises(ValueError, match="semantic mismatch at sampled version .* interned-pieces"):
+        runner.verified(flat, piece, other, manifest, 3, 64)
+    with pytest.raises(ValueError, match="version 2 length mismatch: expected=500, content-chunks"):
+        runner.verified(flat, piece, buffers, manifest.where("version_id <> 2 OR ordinal > 0"), 3, 64)
+    with pytest.raises(ValueError, match="pieces break an invariant"):
+        runner.verified(flat, piece, buffers, manifest, 3, 63)
+    swapped = manifest.withColumn("ordinal", F.when(F.col("version_id") == 4, 1 - F.col("ordinal")).otherwise(F.col("ordinal")))
+    with pytest.raises(ValueError, match="chunks break an invariant"):
+        runner.verified(flat, piece, buffers, swapped, 3, 64)
 
 
 def test_identical_states_add_no_chunk(spark):
@@ -67,7 +100,7 @@ def test_identical_states_add_no_chunk(spark):
     assert dedup.manifest_faults(manifest.where("ordinal <> 0"), sizes, "k").count() == 2
 
 
-def test_files_and_back(spark, tmp_path):
+def test_files_and_back(spark, tmp_path, monkeypatch):
     (tmp_path / "b").write_bytes(pack({"f": b"1"}))
     (tmp_path / "c").write_bytes(pack({"f": b"2"}))
     lines = "# id\tbase\tchild\n\n   \nx\tb\t" + str(tmp_path / "c") + "\tmore \n"
@@ -80,6 +113,11 @@ def test_files_and_back(spark, tmp_path):
     (tmp_path / "bad.tsv").write_text("x\ty\n")
     with pytest.raises(Exception, match="must contain"):
         manifests.parsed(spark.read.text(str(tmp_path / "bad.tsv"))).collect()
+    (tmp_path / "later.tsv").write_text("# head\n\na\tb\tc\r\nx\ty\n")
+    with pytest.raises(Exception, match="manifest line 4 must contain"):
+        manifests.read_manifest(spark, str(tmp_path / "later.tsv")).collect()
+    monkeypatch.setattr(manifests, "LISTED", 1)
+    assert manifests.read_pairs(spark, str(tmp_path / "m.tsv")).first() == row
     (tmp_path / "none.tsv").write_text("# nothing\n")
     with pytest.raises(ValueError):
         manifests.read_manifest(spark, str(tmp_path / "none.tsv"))
@@ -112,6 +150,8 @@ def test_round_robin(spark):
     df = spark.createDataFrame(rows, "pos long, repo string")
     got = [r.pos for r in prepare.round_robin(df, "repo", "pos").orderBy("place").collect()]
     assert got == [0, 2, 4, 1, 6, 3, 5]
+    some = spark.createDataFrame([(0, None), (1, "a"), (2, None)], "pos long, repo string")
+    assert [(r.pos, r.turn, r.place) for r in prepare.round_robin(some, "repo", "pos").orderBy("place").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
     assert [r.pos for r in prepare.selected(df, "round-robin", "repo", "pos", 2, 3).collect()] == [4, 1, 6]
     assert [r.pos for r in prepare.selected(df, "sequential", "repo", "pos", 2, 3).collect()] == [2, 3, 4]
     assert [r.repo for r in prepare.distinct_in_order(df, "repo", "pos").collect()] == ["a", "b", "c"]

@@ -62,5 +62,8 @@ def test_command_line():
     a = arguments(["--base-mib", "1", "--base-kib", "8", "--seed", "0x10"])
     assert a.base_bytes == 8192 and a.seed == 16
     assert arguments([]).base_bytes == 2 << 20
-    with pytest.raises(SystemExit):
-        arguments(["--chunk-average", "63"])
+    b = arguments(["--leaf-bytes", "512", "--verify-samples", "3", "--avg-chunk-bytes", "128"])
+    assert (b.leaf_bytes, b.verify_samples, b.avg_chunk_bytes) == (512, 3, 128) and (a.leaf_bytes, a.verify_samples, a.avg_chunk_bytes) == (4096, 16, 4096)
+    for wrong in (["--avg-chunk-bytes", "63"], ["--leaf-bytes", "0"]):
+        with pytest.raises(SystemExit):
+            arguments(wrong)

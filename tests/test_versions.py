@@ -1,9 +1,13 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forkscope.functions import states
+from forkscope.functions import native, states
 from forkscope.operators import checkpoints, dedup, pieces, report, versions
 from forkscope.plans import runner, workload
 from forkscope.plans.workload import Config, Kind
@@ -71,6 +75,63 @@ def test_checkpoints(spark, made):
     assert got == dict(enumerate(want))
 
 
+def plain_composed(first, then):
+    """Slices by bytes: each byte of the result by itself."""
+    every = [(s, a + i) for s, a, n in first for i in range(min(n, 600))]
+    return [every[a + i] if s == native.ABOVE else (s, a + i) for s, a, n in then for i in range(min(n, max(0, len(every) - a) if s == native.ABOVE else n))]
+
+
+@given(st.lists(st.tuples(st.sampled_from([native.ABOVE, 1, 2]), st.integers(0, 20), st.integers(0, 9)), max_size=6), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 15), st.integers(0, 4)), max_size=5))
+def test_composed_slices(first, edits):
+    first = [x for x in first if x[2]] + [(native.ABOVE, 30, native.REST)]
+    then = []
+    at = 0
+    for gap, size, insert in edits:
+        then += [(native.ABOVE, at, gap), (7, 0, insert)]
+        at += gap + size
+    then.append((native.ABOVE, at, native.REST))
+    got = native.composed(np.array(first, np.int64).reshape(-1, 3), np.array(then, np.int64).reshape(-1, 3))
+    assert got[-1].tolist()[2] == native.REST and (got[:, 2] > 0).all()
+    spell = [(s, a + i) for s, a, n in got.tolist() for i in range(min(n, 600))]
+    want = plain_composed(first, then)
+    assert spell[:300] == want[:300]
+
+
+def test_a_chain_of_20000_versions(spark):
+    """Every version edits the one before: 15 rounds, and no list of ancestors anywhere."""
+    rng = random.Random(8)
+    n, state = 20_000, bytes(range(120))
+    digests, edit = {0: hashlib.md5(state).hexdigest()}, []
+    base = state
+    for i in range(1, n):
+        start = rng.randint(0, len(state))
+        cut = min(rng.randint(0, 6), len(state) - start)
+        ins = rng.randbytes(rng.randint(0, 6 if len(state) < 200 else 2))
+        state = state[:start] + ins + state[start + cut :]
+        digests[i] = hashlib.md5(state).hexdigest()
+        edit.append((i, start, cut, ins))
+    version = spark.range(n).select(F.col("id").alias("version_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit(0).cast("long").alias("root_id"))
+    edit = spark.createDataFrame(edit, "version_id long, start long, delete_len long, insert binary")
+    bases = spark.createDataFrame([(0, base)], "root_id long, payload binary")
+    got = versions.replayed(version, edit, bases, strict=True).select("version_id", "depth", F.md5("state").alias("m")).collect()
+    assert {r.version_id: r.m for r in got} == digests and all(r.depth == r.version_id for r in got)
+    assert versions.lengths(version, edit, bases).where("len IS NULL").count() == 0
+
+
+def test_edits_out_of_bounds(spark):
+    version = spark.createDataFrame([(0, None, 0), (1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 0, 0), (5, 4, 0), (6, 0, 0), (7, 0, 0)], "version_id long, parent_id long, root_id long")
+    edit = spark.createDataFrame([(1, 0, 0, b"abcdef"), (2, 8, 3, b""), (3, 0, 0, b"x"), (4, 5, 0, b"y"), (5, -1, 0, b""), (6, 0, 2**62, b""), (7, 4, 0, None)], "version_id long, start long, delete_len long, insert binary")
+    base = spark.createDataFrame([(0, b"base")], "root_id long, payload binary")
+    got = {r.version_id: r.state and bytes(r.state) for r in versions.replayed(version, edit, base).collect()}
+    # 2 needs 11 bytes of 10, so 3 has no state either; 4 begins behind the end of its parent.
+    assert got == {0: b"base", 1: b"abcdefbase", 2: None, 3: None, 4: None, 5: None, 6: None, 7: None}
+    assert {r.version_id: r.len for r in versions.lengths(version, edit, base).collect()} == {i: s and len(s) for i, s in got.items()}
+    with pytest.raises(Exception, match="edit/range out of bounds"):
+        versions.replayed(version, edit, base, strict=True).collect()
+    piece, buffers = pieces.piece_tables(version, edit, base)
+    assert {r.version_id for r in piece.collect()} == {0, 1} and pieces.faults(piece, buffers).count() == 0
+
+
 def test_siblings_never_see_each_other(spark):
     got = {r.version_id: r.state_text for r in __import__("forkscope.plans.catalogue", fromlist=["x"]).sibling_fork(spark, "").collect()}
     assert got == {0: "base", 1: "base-a", 2: "base-a-b", 3: "base-c"}
