@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of a cell at most (on average) and queries of a block.
-CELL_ROWS, QUERY_ROWS = 4096, 4096
+#: Bytes of a cell's vectors, and of a block's queries, on average: the larger, the fewer times each is moved.
+CELL_BYTES = 32 << 20
 #: Groups of cells whose lists are merged first.
 PARTS = 256
 LISTS = 2
@@ -76,15 +76,16 @@ def _long(x) -> int:
     return max(-LONG - 1, min(LONG, int(x)))
 
 
-#: Queries of a cell that are scored at once.
-STRIP = 256
+#: Scores of a list that are held at once.
+SCORES = 1 << 21
 
 
 def _strips(q: pa.Table, v: pa.Table):
     qid, vid, qs, vs = q["query_id"].to_numpy(), v["vec_id"].to_numpy(), _matrix(q["query"]), _matrix(v["vec"])
-    for at in range(0, len(qid), STRIP):
-        own = qid[at : at + STRIP]
-        yield slice(at, at + STRIP), own, vid, Scores(qs[at : at + STRIP], vs), own[:, None] == vid
+    strip = max(1, SCORES // max(1, len(vid)))
+    for at in range(0, len(qid), strip):
+        own = qid[at : at + strip]
+        yield slice(at, at + strip), own, vid, Scores(qs[at : at + strip], vs), own[:, None] == vid
 
 
 def _gather(k: int):
@@ -150,9 +151,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select("vec_id", quantized(F.col("embedding"), scale).alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     rows = common.stored(rows, "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    cells = max(-(-n // CELL_ROWS), min(64, -(-n // 128)), 1)
-    blocks = max(-(-n_queries // QUERY_ROWS), 1)
+    large = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    n, n_queries, width, top = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("vec")), F.max(large)).first()
+    # Whole numbers below 2**24 are exact in four bytes.
+    kind, size = ("array<float>", 4) if (top or 0) < 1 << 24 else ("array<double>", 8)
+    rows = rows.withColumn("vec", F.col("vec").cast(kind))
+    held = max(1, CELL_BYTES // (size * max(1, width or 1)))
+    cells = max(-(-n // held), min(64, -(-n // 128)), 1)
+    blocks = max(-(-n_queries // held), 1)
     cell = F.pmod(F.xxhash64("vec_id"), F.lit(cells).cast("long"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
     candidates = rows.select("vec_id", "vec", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).groupBy("cell", "block")

@@ -53,8 +53,8 @@ def test_any(spark, rows):
 
 
 def test_many_cells_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CELL_ROWS", 60)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
-    monkeypatch.setattr(topk, "STRIP", 2)
     rows = [(r.vec_id, r.embedding) for r in common.table(spark, "/root/testdata/sf0.001", "embeddings").collect()]
+    # Cells of about six vectors, blocks of about six queries, strips of a few scores.
+    monkeypatch.setattr(topk, "CELL_BYTES", 6 * 4 * len(rows[0][1]))
+    monkeypatch.setattr(topk, "SCORES", 20)
     assert run(spark, rows, 20, 20) == brute(rows, 20, 20)
