@@ -11,8 +11,13 @@ n-gram of the group first, so that alike sets share their paths: a set walks
 down it, carrying the overlap on the way, and leaves subtrees whose remaining
 length, or whose sizes, cannot reach the threshold. A subtree whose sets are
 all known to belong to the walker's own component has nothing to add. Only a
-spanning forest leaves the group, never all pairs. A group beyond
-GROUP_SHINGLES is cut into blocks and each pair of blocks is joined by itself.
+spanning forest leaves the group, never all pairs.
+
+Where very many sets meet, most are near copies of one text. So each is first
+compared with one leader; what is near it, or links to it, is connected over it
+and meets only the others: a group without others is done in one pass, however
+large. The others, and those near the leader, are cut into blocks, and blocks
+are joined in pairs of which one at least holds others.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ from pyspark.sql import functions as F
 from . import common, components, shingles
 
 WORDS, PERCENT = 4, 85
-#: Shingles that two blocks of a group hold together, about.
+#: Shingles that two blocks of a group hold together, about; a larger group has a leader.
 GROUP_SHINGLES = 4_000_000
 #: What comes up so often in one task is counted over all tasks; the order knows the most frequent words and n-grams.
 LOCAL_LEAST, FREQUENT, TALLIED = 4, 1 << 17, 1 << 20
-#: Least number of bits of a set's parity marks, and documents of an n-gram that are compared at once.
-MARKS, BUCKET_ROWS = 1024, 4096
+#: Least number of bits of a set's parity marks; documents of an n-gram that are compared at once; with more than LED_ROWS it has a leader.
+MARKS, BUCKET_ROWS, LED_ROWS = 1024, 4096, 256
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -69,13 +74,15 @@ class PrefixTree:
         i, j = self.find(i), self.find(j)
         self.parent[max(i, j)] = min(i, j)
 
-    def add(self, own: np.ndarray, size: int) -> None:
-        """own: ascending."""
+    def add(self, own: np.ndarray, size: int, with_member: int | None = None) -> None:
+        """own: ascending. A set known to be in the component of another member is not compared."""
         member = len(self.parent)
         self.parent.append(member)
+        if with_member is not None:
+            self.union(member, with_member)
         if self.root is None:
             self.root = Node(own[:0], size, member, len(own))
-        else:
+        elif with_member is None:
             self.inside[own] = True
             self._walk(own, size, member)
             self.inside[own] = False
@@ -143,8 +150,8 @@ class PrefixTree:
             node, at = child, at + same
 
 
-def joined(members: list[np.ndarray], percent: int) -> list[int]:
-    """For each set (ascending distinct hashes) the index of the first set of its component."""
+def joined(members: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[int]:
+    """For each set (ascending distinct hashes) the index of the first set of its component. known: sets that are in one component already."""
     values, inverse, counts = np.unique(np.concatenate(members), return_inverse=True, return_counts=True) if members else (np.zeros(0),) * 3
     if not len(members):
         return []
@@ -153,10 +160,11 @@ def joined(members: list[np.ndarray], percent: int) -> list[int]:
     shared = int(np.count_nonzero(counts > 1))  # an n-gram of one set overlaps with none: only the set's size counts it
     ranks, ends = rank[inverse], np.cumsum([len(m) for m in members])
     tree = PrefixTree(shared, percent)
-    order = sorted(range(len(members)), key=lambda i: (len(members[i]), i))
+    known = np.zeros(len(members), bool) if known is None else known
+    order = sorted(range(len(members)), key=lambda i: (not known[i], len(members[i]), i))
     for i in order:
         own = np.sort(ranks[ends[i] - len(members[i]) : ends[i]])
-        tree.add(own[: int(np.searchsorted(own, shared))].astype(np.int32), len(members[i]))
+        tree.add(own[: int(np.searchsorted(own, shared))].astype(np.int32), len(members[i]), 0 if known[i] else None)
     first: dict[int, int] = {}
     for at, i in enumerate(order):
         root = tree.find(at)
@@ -271,14 +279,40 @@ def _described(order: Order, size: int, percent: int):
     return describe
 
 
-def near(sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int, int]]:
+def _close(apart: np.ndarray, sizes: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets that differ in so many n-grams at least may link."""
+    return ((100 + percent) * apart <= (100 - percent) * (sizes + other)) & (100 * np.minimum(sizes, other) >= percent * np.maximum(sizes, other))
+
+
+def _near_leader(percent: int):
+    """Rows have their leader's size and marks; adds whether a link with it is possible."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.zeros(len(batch), np.int64)
+            for i, (a, b) in enumerate(zip(batch.column("marks").to_pylist(), batch.column("marks_l").to_pylist(), strict=True)):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                width = min(len(a), len(b))
+                apart[i] = np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum(dtype=np.int64)
+            known = _close(apart, batch.column("n").to_numpy(), batch.column("n_l").to_numpy(), percent)
+            rest = batch.drop_columns(["n_l", "marks_l"])
+            yield rest.append_column("known", pa.array(known | (batch.column("doc_id").to_numpy() == batch.column("leader").to_numpy())))
+
+    return judge
+
+
+def near(sizes: np.ndarray, marks: list[bytes], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that connect all sets whose sizes and marks leave a link possible, directly or over others.
 
     Those near the first one are connected over it and need no comparison among
-    themselves; every other set is compared with all.
+    themselves; every other set is compared with all. known: sets that are
+    connected already.
     """
     labels, pairs = np.arange(len(sizes)), []
     waiting = np.ones(len(sizes), bool)
+    if known is not None and known.any():
+        labels[known] = np.flatnonzero(known)[0]
+        waiting[known] = False
     own = [np.frombuffer(m, np.uint64) for m in marks]
     width = np.array([len(m) for m in own])
     #: By width: which sets, and their marks folded to any smaller width.
@@ -292,8 +326,7 @@ def near(sizes: np.ndarray, marks: list[bytes], percent: int) -> list[tuple[int,
             if least not in folded:
                 folded[least] = _folded(folded[w], least)
             apart[at] = np.bitwise_count(folded[least] ^ _folded(own[i], least)).sum(1, dtype=np.int64)
-        both = sizes + sizes[i]
-        close = ((100 + percent) * apart <= (100 - percent) * both) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        close = _close(apart, sizes, sizes[i], percent)
         for other in np.unique(labels[close]):
             if other != labels[i]:
                 pairs.append((i, int(np.flatnonzero(close & (labels == other))[0])))
@@ -311,16 +344,16 @@ def _near_in_buckets(percent: int):
         key = None
 
         def bucket() -> list[tuple[int, int]]:
-            ids, sizes = (np.concatenate([h[k] for h in held]) for k in range(2))
-            marks = [m for h in held for m in h[2]]
-            return [(ids[i], ids[j]) for i, j in near(sizes, marks, percent)]
+            ids, sizes, known = (np.concatenate([h[k] for h in held]) for k in range(3))
+            marks = [m for h in held for m in h[3]]
+            return [(ids[i], ids[j]) for i, j in near(sizes, marks, percent, known)]
 
         for batch in batches:
             if not len(batch):
                 continue
             found: list[tuple[int, int]] = []
             keys = np.stack([batch.column(c).to_numpy() for c in ("gram", "i", "j")], 1)
-            ids, sizes = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
+            ids, sizes, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "known"))
             marks = batch.column("marks").to_pylist()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -331,7 +364,7 @@ def _near_in_buckets(percent: int):
                     found += bucket()
                     held = []
                 key = now
-                held.append((ids[a:b], sizes[a:b], marks[a:b]))
+                held.append((ids[a:b], sizes[a:b], known[a:b], marks[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if held:
             found = bucket()
@@ -355,24 +388,62 @@ def _with_sets(size: int):
     return attach
 
 
+def _linked_to_leader(percent: int):
+    """Rows have their leader's n-grams; adds whether they link to it."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = []
+            for a, b in zip(batch.column("grams").to_pylist(), batch.column("grams_l").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                known.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.drop_columns(["grams_l"]).append_column("known", pa.array(known, pa.bool_()))
+
+    return judge
+
+
 def _joined_cell(percent: int):
     def join(cell: pa.Table) -> pa.Table:
         ids = cell["doc_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         grams = cell["grams"].combine_chunks()
-        roots = joined([np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in order], percent)
+        known = cell["known"].to_numpy()[order]
+        roots = joined([np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in order], percent, known)
         ids = ids[order]
-        return pa.table({"a": ids, "b": ids[roots] if len(ids) else ids, "many": cell["blocks"].to_numpy()[order] > 1})
+        return pa.table({"a": ids, "b": ids[roots] if len(ids) else ids})
 
     return join
 
 
-def _in_block_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows (doc_id, blocks, ...) with i and j: where a key has several blocks, a row goes to each pair with its own block."""
+def _in_block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, blocks, ...) with i and j: where there are several blocks, a row goes to each pair with its own block."""
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+
+def _blocks(amount, most: int):
+    """1 for what is compared at once, else so many that two hold as much together."""
+    return F.when(amount > most, F.ceil(2 * amount / most)).otherwise(1).cast("int")
+
+
+def _led_cells(judged: DataFrame, key: str, amount, most: int) -> DataFrame:
+    """Cells (key, i, j) of judged rows (key, doc_id, known, ...): known ones meet only the others, in pairs of blocks.
+
+    i and j are blocks of the others, or -1 - i is one of the known ones. A key
+    without others has no cell.
+    """
+    sums = judged.groupBy(key).agg(F.coalesce(F.sum(F.when(~F.col("known"), amount)), F.lit(0)).alias("u"), F.coalesce(F.sum(F.when(F.col("known"), amount)), F.lit(0)).alias("r"))
+    sums = sums.where("u > 0").select(key, _blocks(F.col("u"), most).alias("blocks"), _blocks(F.col("r"), most).alias("near"))
+    rows = judged.join(sums, key)
+    among = _in_block_pairs(rows.where("NOT known").drop("near"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    near_side = rows.where("known").withColumn("i", -1 - own("near")).withColumn("j", every("blocks"))
+    far_side = rows.where("NOT known").withColumn("j", own("blocks")).withColumn("i", every("near")).withColumn("i", -1 - F.col("i"))
+    return among.unionByName(near_side.drop("blocks", "near")).unionByName(far_side.drop("blocks", "near"))
 
 
 def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -407,21 +478,40 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     # Buckets of the same documents are one: the number and the joint hash of a bucket's documents tell.
     met = grams.groupBy("gram").agg(F.count("*").alias("many"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"), F.sum(F.xxhash64("doc_id") % (1 << 31)).alias("total")).where("low <> high")
     met = met.groupBy("many", "low", "high", "sign", "total").agg(F.min("gram").alias("gram"))
-    cut = F.when(F.col("many") > BUCKET_ROWS, F.ceil(2 * F.col("many") / BUCKET_ROWS)).otherwise(1).cast("int")
-    buckets = grams.join(met.select("gram", cut.alias("blocks")), "gram").join(first.select("doc_id", "n", "marks"), "doc_id")
-    edges = _in_block_pairs(buckets, ["gram"]).repartition(common.partitions(spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    edges = edges.select("gram", "i", "j", "doc_id", "n", "marks").mapInArrow(_near_in_buckets(percent), "a long, b long")
+    held = first.select("doc_id", "n", "marks")
+    small = grams.join(met.where(F.col("many") <= LED_ROWS).select("gram"), "gram").join(held, "doc_id").select("gram", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "n", F.lit(False).alias("known"), "marks")
+    # Merged at every size, so that the rows of a large bucket may be split; its leader is one row.
+    led = grams.join(met.where(F.col("many") > LED_ROWS).select("gram", F.col("low").alias("leader")), "gram").join(held, "doc_id")
+    led = common.stored(led.select("gram", "doc_id", "n", "marks", "leader"), "led")
+    leaders = led.where("doc_id = leader").select("gram", F.col("n").alias("n_l"), F.col("marks").alias("marks_l")).dropDuplicates(["gram"])
+    judged = led.join(leaders.hint("merge"), "gram").mapInArrow(_near_leader(percent), "gram long, doc_id long, n long, marks binary, leader long, known boolean")
+    judged = common.stored(judged, "judged")
+    order_by = ["gram", "i", "j"]
+    cells = small.unionByName(_led_cells(judged.drop("leader"), "gram", F.lit(1), BUCKET_ROWS))
+    cells = cells.repartition(common.partitions(spark), *order_by).sortWithinPartitions(*order_by)
+    edges = cells.select(*order_by, "doc_id", "n", "known", "marks").mapInArrow(_near_in_buckets(percent), "a long, b long")
+    edges = edges.union(judged.where("known AND doc_id <> leader").select("leader", "doc_id"))
     groups = components.connected(edges)
     groups = groups.union(groups.select("component", "component").distinct()).toDF("doc_id", "g")
     members = common.stored(groups.join(rows.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "groups")
-    blocks = members.groupBy("g").agg(F.ceil(2 * F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks")).select("g", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1).alias("blocks"))
-    texts = docs.join(members.join(blocks, "g").select("doc_id", "g", "blocks"), "doc_id")
-    sets = texts.mapInArrow(_with_sets(size), "doc_id long, g long, blocks int, grams binary")
-    cells = _in_block_pairs(sets, ["g"])
-    links = common.stored(cells.groupBy("g", "i", "j").applyInArrow(_joined_cell(percent), "a long, b long, many boolean").where("a <> b"), "links")
-    found = links.where("NOT many").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
-    if links.where("many").limit(1).count():
-        found = found.union(components.connected(links.where("many").select("a", "b")))
+    weights = common.stored(members.groupBy("g").agg(F.sum("n").alias("weight")), "weights")
+
+    def sets_of(groups: DataFrame) -> DataFrame:
+        texts = docs.join(members.join(groups.select("g"), "g").select("doc_id", "g", "n"), "doc_id")
+        return texts.mapInArrow(_with_sets(size), "doc_id long, g long, n long, grams binary")
+
+    cells = sets_of(weights.where(F.col("weight") <= GROUP_SHINGLES)).withColumn("known", F.lit(False))
+    links = common.stored(cells.select("doc_id", "g", "grams", "known").groupBy("g").applyInArrow(_joined_cell(percent), "a long, b long").where("a <> b"), "links")
+    found = links.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+    large = weights.where(F.col("weight") > GROUP_SHINGLES)
+    if large.limit(1).count():
+        # A group's leader is its smallest document, for which it is named.
+        sets = common.stored(sets_of(large), "large")
+        judged = sets.join(sets.where("doc_id = g").select("g", F.col("grams").alias("grams_l")).dropDuplicates(["g"]).hint("merge"), "g")
+        judged = common.stored(judged.mapInArrow(_linked_to_leader(percent), "g long, doc_id long, n long, grams binary, known boolean"), "judged")
+        cells = _led_cells(judged, "g", F.col("n"), GROUP_SHINGLES).select("doc_id", "g", "i", "j", "grams", "known")
+        among = cells.groupBy("g", "i", "j").applyInArrow(_joined_cell(percent), "a long, b long").where("a <> b")
+        found = found.union(components.connected(among.union(judged.where("known").select("doc_id", "g").where("doc_id <> g"))))
     return known.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 

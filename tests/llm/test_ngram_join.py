@@ -2,10 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from forkscope.llm import common, components, ngram_join, shingles
 
 
@@ -81,8 +84,24 @@ def test_marks_lose_no_link(seed, n, percent, size):
 
     for i, j in pairs:
         parent[find(i)] = find(j)
+    # Those near a leader are known to be connected and are not compared among themselves.
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(n), [len(s) for s in sets], marks, [0] * n, [len(sets[0])] * n, [marks[0]] * n)], ["doc_id", "n", "marks", "leader", "n_l", "marks_l"])
+    known = next(ngram_join._near_leader(percent)([rows])).column("known").to_numpy(zero_copy_only=False)
+    assert known[0]
+    few = ngram_join.near(np.array([len(s) for s in sets]), marks, percent, known)
+    assert len(few) <= n - known.sum()
+    led = list(range(n))
+
+    def top(i):
+        while led[i] != i:
+            i = led[i]
+        return i
+
+    for i, j in [*few, *((0, int(k)) for k in np.flatnonzero(known))]:
+        led[top(i)] = top(j)
     for i, a in enumerate(sets):
         for j in range(i):
+            assert (find(i) == find(j)) <= (top(i) == top(j))
             if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 assert find(i) == find(j)
 
@@ -98,8 +117,12 @@ def test_prefix_tree_against_all_pairs(seed, n, percent):
         for _ in range(rng.randint(0, 6)):
             s.discard(rng.choice(sorted(s))) if len(s) > 1 and rng.random() < 0.5 else s.add(rng.randrange(400))
         sets.append(s)
-    got = ngram_join.joined([np.array(sorted(s), np.uint64) for s in sets], percent)
-    assert got == components_by_pairs(sets, percent)
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    want = components_by_pairs(sets, percent)
+    assert ngram_join.joined(arrays, percent) == want
+    leader = rng.randrange(n)
+    known = np.array([100 * len(s & sets[leader]) >= percent * len(s | sets[leader]) for s in sets])
+    assert ngram_join.joined(arrays, percent, known) == want
 
 
 def rows_of(seed, n):
@@ -121,12 +144,35 @@ def test_against_all_pairs(spark, monkeypatch, group, least):
     monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", group)
     monkeypatch.setattr(ngram_join, "LOCAL_LEAST", least)
     monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 4096 if least == 4 else 6)
+    monkeypatch.setattr(ngram_join, "LED_ROWS", 256 if least == 4 else 3)
     monkeypatch.setattr(ngram_join, "TALLIED", 1 << 21 if least == 4 else 50)
     rows = rows_of(1, 150) + [(0, None), (2, ""), (5, " \n "), (8, "one"), (11, "ONE"), (14, "a b c"), (17, "A b C"), (20, "x " * 4000), (23, "x " * 3000), (None, "one"), (8, "one"), (1, rows_of(1, 2)[1][1])]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, n int, gram string")
     assert sorted(tuple(r) for r in ngram_join.components_of(df).collect()) == brute(rows)
 
 
+def test_rows_of_a_very_large_bucket_that_are_moved(spark):
+    """Ten times what is compared at once, five of which are not near the leader: each row moves once or twice, and the five meet all."""
+    most = 100
+    rows = [(7, i, i % 200 != 3) for i in range(10 * most)] + [(8, i, True) for i in range(10 * most)]
+    df = spark.createDataFrame(rows, "gram long, doc_id long, known boolean")
+    cells = ngram_join._led_cells(df, "gram", F.lit(1), most).collect()
+    assert {r.gram for r in cells} == {7} and len(cells) < 1.2 * 10 * most
+    met = {}
+    for r in cells:
+        met.setdefault((r.i, r.j), []).append(r)
+    assert max(len(c) for c in met.values()) < 1.5 * most
+    together = {(a.doc_id, b.doc_id) for c in met.values() for a in c if not a.known for b in c}
+    assert all((i, j) in together for i in range(3, 1000, 200) for j in range(1000))
+    # With many others the known ones meet every block of them, and all pairs of others meet.
+    df = spark.createDataFrame([(7, i, i % 2 == 0) for i in range(600)], "gram long, doc_id long, known boolean")
+    met = {}
+    for r in ngram_join._led_cells(df, "gram", F.lit(1), most).collect():
+        met.setdefault((r.i, r.j), []).append(r)
+    together = {(a.doc_id, b.doc_id) for c in met.values() for a in c if not a.known for b in c}
+    assert all((i, j) in together for i in range(1, 600, 2) for j in range(600))
+
+
 def test_none(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.components_of(df).collect() == []
