@@ -479,10 +479,12 @@ def components_of(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     met = grams.groupBy("gram").agg(F.count("*").alias("many"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"), F.sum(F.xxhash64("doc_id") % (1 << 31)).alias("total")).where("low <> high")
     met = met.groupBy("many", "low", "high", "sign", "total").agg(F.min("gram").alias("gram"))
     held = first.select("doc_id", "n", "marks")
-    small = grams.join(met.where(F.col("many") <= LED_ROWS).select("gram"), "gram").join(held, "doc_id").select("gram", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "n", F.lit(False).alias("known"), "marks")
+    # Stored once for both kinds of buckets: those with a leader and the others.
+    buckets = grams.join(met.select("gram", F.when(F.col("many") > LED_ROWS, F.col("low")).alias("leader")), "gram").join(held, "doc_id")
+    buckets = common.stored(buckets.select("gram", "doc_id", "n", "marks", "leader"), "buckets")
+    small = buckets.where("leader IS NULL").select("gram", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "n", F.lit(False).alias("known"), "marks")
     # Merged at every size, so that the rows of a large bucket may be split; its leader is one row.
-    led = grams.join(met.where(F.col("many") > LED_ROWS).select("gram", F.col("low").alias("leader")), "gram").join(held, "doc_id")
-    led = common.stored(led.select("gram", "doc_id", "n", "marks", "leader"), "led")
+    led = buckets.where("leader IS NOT NULL")
     leaders = led.where("doc_id = leader").select("gram", F.col("n").alias("n_l"), F.col("marks").alias("marks_l")).dropDuplicates(["gram"])
     judged = led.join(leaders.hint("merge"), "gram").mapInArrow(_near_leader(percent), "gram long, doc_id long, n long, marks binary, leader long, known boolean")
     judged = common.stored(judged, "judged")
