@@ -2,8 +2,9 @@
 
 P(grade <= j) = sigmoid(threshold_j - score); the score is one weight per
 hashed feature of the text, shared by all grades, and the thresholds ascend.
-Features are the words, the runs of punctuation and a few shape bands, each
-counted once a text. The model is fitted on the driver to a bounded sample of
+Features are the words, the beginnings of longer words (which stand for forms
+of a word that no labelled text has), the runs of punctuation and a few shape
+bands, each counted once a text. The model is fitted on the driver to a bounded sample of
 labelled rows and applied to all documents.
 """
 
@@ -20,7 +21,9 @@ from . import common, shingles
 
 #: Labelled rows that the model is fitted to at most, chosen by the hash of their id.
 FITTED = 8192
-BITS = 18
+BITS = 20
+#: Lengths of word beginnings, in characters.
+BEGINNINGS = (4, 6)
 #: Rounds of the fit, and the strength of the pull of weights to zero.
 ROUNDS, RIDGE = 400, 0.02
 #: A document is selected where P(grade >= TOP) reaches LEAST_TAIL.
@@ -37,6 +40,10 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     marks, n_marks = shingles.words(texts, MARK_BREAKS)
     place = np.uint64(64 - BITS)
     words, marks = (words >> place).astype(np.int64), (shingles.mixed(marks) >> place).astype(np.int64)
+    begun, owner = shingles.beginnings(texts, BEGINNINGS, WORD_BREAKS)
+    begun = np.unique(owner << BITS | (begun >> place).astype(np.int64))
+    firsts = np.searchsorted(begun, np.arange(len(texts) + 1) << BITS)
+    begun &= (1 << BITS) - 1
     out, w, m = [], 0, 0
     for i, text in enumerate(texts):
         a, b = int(n_words[i]), int(n_marks[i])
@@ -45,7 +52,7 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
         letters = max(1, kinds[1] + kinds[2])
         bands = [min(7, a.bit_length()), int(7.99 * kinds[1] / letters), int(7.99 * min(1, kinds[4] / letters)), int(7.99 * min(1, kinds[3] / letters)), int(7.99 * len(own) / a) if a else 0]
         shape = np.array([8 * k + x for k, x in enumerate(bands)], np.uint64)
-        out.append(np.unique(np.concatenate([own, marks[m : m + b], (shingles.mixed(shape + np.uint64(12345)) >> place).astype(np.int64)])))
+        out.append(np.unique(np.concatenate([own, begun[firsts[i] : firsts[i + 1]], marks[m : m + b], (shingles.mixed(shape + np.uint64(12345)) >> place).astype(np.int64)])))
         w, m = w + a, m + b
     return out
 
@@ -62,9 +69,13 @@ class Ordinal:
         levels = int(grades.max())
         flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
         seen, at = np.unique(flat, return_inverse=True)
-        often = np.bincount(at) >= 3
-        starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(rows)), lengths)
         scale = 1 / np.sqrt(np.maximum(1, lengths.mean()))
+        # A feature of fewer than three texts has no weight.
+        often = np.bincount(at) >= 3
+        kept, owner = often[at], np.repeat(np.arange(len(rows)), lengths)
+        at, owner, seen = (np.cumsum(often) - 1)[at[kept]], owner[kept], seen[often]
+        lengths = np.bincount(owner, minlength=len(rows))
+        starts = np.cumsum(lengths) - lengths
         share = np.array([np.clip((grades <= j).mean(), 1e-3, 1 - 1e-3) for j in range(levels)])
         first = np.log(share / (1 - share))
         x = np.concatenate([np.zeros(len(seen)), [first[0]], np.log(np.maximum(1e-2, np.diff(first)))])
@@ -81,7 +92,7 @@ class Ordinal:
             d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
             d_score = (d_up - d_low) / n
             g = np.zeros_like(x)
-            g[: len(seen)] = (scale * np.bincount(at, d_score[owner], len(seen)) + RIDGE * w / n) * often
+            g[: len(seen)] = scale * np.bincount(at, d_score[owner], len(seen)) + RIDGE * w / n
             d_cuts = np.zeros(levels)
             np.add.at(d_cuts, np.minimum(grades, levels - 1), np.where(grades < levels, -d_up, 0) / n)
             np.add.at(d_cuts, np.maximum(grades, 1) - 1, np.where(grades > 0, d_low, 0) / n)

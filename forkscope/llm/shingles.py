@@ -46,19 +46,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(21, n.bit_length()))
 
 
-def words(texts: list[bytes], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and how many each text has. Words are runs between bytes of `spaces` (a line feed must be one); A-Z count as a-z."""
+def _runs(texts: list[bytes], spaces: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes of all texts, first and last place of each word, where each text ends, and what hashes stretches of bytes."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     space = np.concatenate([[True], spaces[data]])
     turn = np.flatnonzero(space[1:] != space[:-1])
-    first, last = turn[::2], turn[1::2]
     up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[data] * up[: len(data)])])
-    hashes = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
+    return data, turn[::2], turn[1::2], ends, sums, down
+
+
+def words(texts: list[bytes], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many each text has. Words are runs between bytes of `spaces` (a line feed must be one); A-Z count as a-z."""
+    _, first, last, ends, sums, down = _runs(texts, spaces)
+    hashes = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
     return hashes, np.diff(np.searchsorted(first, ends), prepend=0)
 
 
+def beginnings(texts: list[bytes], sizes: tuple[int, ...], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first n characters of every word that is longer, for each n of sizes, and the number of the text that each is of."""
+    data, first, last, ends, sums, down = _runs(texts, spaces)
+    heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    at, owner = np.searchsorted(heads, first), np.searchsorted(ends, first, side="right")
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+    for n in sizes:
+        stop = heads[np.minimum(at + n, len(heads) - 1)]
+        longer = stop < last
+        start = first[longer]
+        # Other turns than whole words have, so that a word and the same beginning are two things.
+        hashes.append(mixed(((sums[stop[longer]] - sums[start]) * down[start]) ^ TURNS[n]))
+        owners.append(owner[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def shingles(texts: list[bytes], size: int, weigh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Hashes of all shingles of `size` words in text order, and how many each text has: the whole sequence is one where there are fewer words.
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forkscope.llm import common, quality
+from forkscope.llm import common, quality, shingles
 
 
 def test_gradient_of_the_fit():
@@ -27,6 +27,32 @@ def test_gradient_of_the_fit():
     assert quality.Ordinal.fitted(rows[:3], np.array([1, 1, 1])) is None
 
 
+def test_beginnings_like_slices():
+    """Equal beginnings have equal hashes, others and whole words have different ones; words as long as a beginning have none."""
+    texts = ["", "abcdefgh ABCDxyz abcd", "été étéétés abcdEFGH\nabcde", "日本語日本語日本 x"]
+    hashes, owners = shingles.beginnings([t.encode() for t in texts], (4, 6), quality.WORD_BREAKS)
+    want = [(w.lower()[:n], i) for n in (4, 6) for i, t in enumerate(texts) for w in t.split() if len(w) > n]
+    assert owners.tolist() == [i for _, i in want]
+    groups = {}
+    for (begun, _), h in zip(want, hashes.tolist(), strict=True):
+        groups.setdefault(begun, set()).add(h)
+    assert all(len(h) == 1 for h in groups.values()) and len(set().union(*groups.values())) == len(groups)
+    assert not set(hashes.tolist()) & set(shingles.words([b"abcd ABCDEF"])[0].tolist())
+    assert len(shingles.beginnings([], (4,))[0]) == len(shingles.beginnings([b" "], (4,))[0]) == 0
+
+
+def test_forms_that_no_labelled_text_has():
+    """A word of the worst grade is known by its beginning."""
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("aeioulmn"), 6)) for _ in range(300)]
+    text = lambda bad: " ".join([*rng.choice(plain, 30), *([f"zorr{''.join(rng.choice(list('aeioulmn'), 8))}" for _ in range(3)] if bad else [])])
+    rows = [text(i % 4 == 0).encode() for i in range(2000)]
+    grades = np.array([0 if i % 4 == 0 else 2 - (i % 8 == 1) for i in range(2000)])
+    m = quality.Ordinal.fitted(quality.features(rows[:1600]), grades[:1600])
+    low = m.tails(quality.features(rows[1600:]))[:, 0] < 0.5
+    assert (low == (grades[1600:] == 0)).mean() > 0.98
+
+
 def test_tails_by_hand():
     m = quality.Ordinal(np.array([0.5, -2.0, 0, 0]), np.array([-1.0, 1.0]))
     got = m.tails([np.array([0]), np.array([0, 1]), np.array([], int)])
@@ -42,7 +68,7 @@ def test_held_out(spark):
     good = [r for r in got if graded[r.doc_id] == 2]
     bad = [r for r in got if graded[r.doc_id] < 2]
     kept = lambda rows: sum(r.tail_probability >= quality.LEAST_TAIL for r in rows) / len(rows)
-    assert kept(good) > 0.97 and kept(bad) < 0.35
+    assert kept(good) > 0.97 and kept(bad) < 0.2
     pairs = [(a.expected_grade > b.expected_grade) for a in good[:200] for b in bad[:200]]
     assert sum(pairs) / len(pairs) > 0.9
 
