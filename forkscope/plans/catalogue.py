@@ -545,7 +545,7 @@ def relation_bytes(spark, sf_dir):
     """Sizes of files joined to the relations that own them."""
     nation = table(spark, sf_dir, "nation")
     names = [r[0] for r in nation.where("n_regionkey = 1").select("n_name").collect()]  # a fixed table of 25 rows
-    files = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("relation_id"), F.round("s_acctbal").cast("long").alias("size"))
+    files = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("relation_id"), F.rint("s_acctbal").cast("long").alias("size"))  # halves to the even neighbour, as in SQL
     return checkpoints.relation_bytes(files, nation.select(F.col("n_nationkey").alias("relation_id"), F.col("n_name").alias("name")), names)
 
 

@@ -39,6 +39,17 @@ def test_query(spark, duck, name):
         assert all(alike(x, y) for a, b in zip(rows, expected) for x, y in zip(a, b))
 
 
+def test_halves_in_relation_bytes(spark, tmp_path):
+    nation = spark.createDataFrame([(1, "ARGENTINA", 1), (8, "INDIA", 2)], "n_nationkey int, n_name string, n_regionkey int")
+    supplier = spark.createDataFrame([(i, 1 if i else 8, v) for i, v in enumerate([9.5, 0.5, 2.5, -2.5, 7.5, -0.5, 1.49, None])], "s_suppkey long, s_nationkey int, s_acctbal double")
+    db = duckdb.connect()
+    for name, df in (("nation", nation), ("supplier", supplier)):
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["relation_bytes"](spark, str(tmp_path)).collect()]
+    assert got == db.sql(catalogue.oracle_sql()["relation_bytes"]).fetchall() == [(0 + 2 - 2 + 8 + 0 + 1,)]
+
+
 def test_streamed_sizes(spark, tmp_path):
     from forkscope.streaming import edit_log
 
