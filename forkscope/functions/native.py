@@ -313,27 +313,77 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b].reshape(-1, 3) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _column(lists: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([3 * len(x) for x in lists])]).astype(np.int32)
-    flat = np.concatenate([x.reshape(-1) for x in lists]) if lists else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of all rows one after another, and how many each row has."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].reshape(-1, 3), np.diff(offsets) // 3
+
+
+def composed_rows(first: np.ndarray, firsts: np.ndarray, then: np.ndarray, thens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """composed() of many rows at once; firsts and thens: how many slices each row has. The slices of all rows, and how many each has."""
+    rows = len(firsts)
+    row, own_row = np.repeat(np.arange(rows), firsts), np.repeat(np.arange(rows), thens)
+    keep, own_keep = first[:, 2] > 0, then[:, 2] > 0
+    first, row, then, own_row = first[keep], row[keep], then[own_keep], own_row[own_keep]
+    rest, up, to_end = first[:, 2] >= REST // 2, then[:, 0] == ABOVE, then[:, 2] >= REST // 2
+    # A rest counts as so long that all that is asked for lies inside, so that the rows fit on one line.
+    asked = np.where(up, then[:, 1], 0)
+    long = int(asked.max(initial=0)) + int(np.where(up & ~to_end, then[:, 2], 0).max(initial=0)) + 1
+    if long > 1 << 40 or int(first[~rest, 2].max(initial=0)) > 1 << 40 or len(first) > 1 << 20:
+        at, own_at = np.cumsum(np.bincount(row, minlength=rows)), np.cumsum(np.bincount(own_row, minlength=rows))
+        lists = [composed(x, y) for x, y in zip(np.split(first, at[:-1]), np.split(then, own_at[:-1]))]
+        return np.concatenate([np.zeros((0, 3), np.int64), *lists]), np.array([len(x) for x in lists], np.int64)
+    sizes = np.where(rest, long, first[:, 2])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    whole = np.zeros(rows, np.int64)
+    np.add.at(whole, row, sizes)
+    zero = (np.cumsum(whole) - whole)[own_row]
+    lo = np.minimum(asked, whole[own_row])
+    hi = zero + np.where(to_end, whole[own_row], np.minimum(lo + np.where(to_end, 0, then[:, 2]), whole[own_row]))
+    lo = lo + zero
+    a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
+    many = np.where(up, np.maximum(b - a, 0), 1)
+    own = np.repeat(np.arange(len(then)), many)
+    if not len(own):
+        return then[:0], np.zeros(rows, np.int64)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.where(up, a, 0), many)
+    out, of = then[own], own_row[own]
+    endless = ~up[own] & to_end[own]
+    at = np.flatnonzero(up[own])
+    k, own = k[at], own[at]
+    low, high = np.maximum(lo[own], starts[k]), np.minimum(hi[own], ends[k])
+    out[at, 0], out[at, 1], out[at, 2] = first[k, 0], first[k, 1] + low - starts[k], high - low
+    endless[at] = to_end[own] & rest[k]
+    new = np.ones(len(out), bool)
+    new[1:] = (of[1:] != of[:-1]) | (out[1:, 0] != out[:-1, 0]) | (out[1:, 1] != out[:-1, 1] + out[:-1, 2])
+    head = np.flatnonzero(new)
+    out[endless, 2] = 0
+    sums, endless = np.add.reduceat(out[:, 2], head), np.logical_or.reduceat(endless, head)
+    out = out[head]
+    out[:, 2] = np.where(endless, REST, sums)
+    return out, np.bincount(of[head], minlength=rows)
 
 
 def compose_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: the last two columns, the slices of the way above and of the own way, become one."""
     for batch in batches:
         rest = batch.columns[:-2]
-        lists = [composed(a, b) for a, b in zip(_lists(batch.column(batch.num_columns - 2)), _lists(batch.column(batch.num_columns - 1)), strict=True)]
-        yield pa.RecordBatch.from_arrays([*rest, _column(lists)], [*batch.schema.names[:-2], "slices"])
+        flat, many = composed_rows(*_flat(batch.column(batch.num_columns - 2)), *_flat(batch.column(batch.num_columns - 1)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(3 * many)]).astype(np.int32)), pa.array(flat.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[:-2], "slices"])
+
+
+def _whole(sizes: np.ndarray) -> np.ndarray:
+    """A slice of the whole base for each row."""
+    return np.stack([np.full(len(sizes), BASE), np.zeros(len(sizes), np.int64), sizes.astype(np.int64)], 1)
 
 
 def resolve_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow, from version_id, root_id, base_len, slices: one row per slice of each version, the rest of the base cut to its length."""
     for batch in batches:
         versions, roots, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        lists = [composed(np.array([[BASE, 0, n]]), x) for n, x in zip(sizes.tolist(), _lists(batch.column(3)), strict=True)]
-        many = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate([np.zeros((0, 3), np.int64), *lists])
+        flat, many = composed_rows(_whole(sizes), np.ones(len(sizes), np.int64), *_flat(batch.column(3)))
         ends = np.cumsum(flat[:, 2])
         firsts = np.cumsum(many) - many
         before = np.repeat(np.where(firsts > 0, np.concatenate([[0], ends])[firsts], 0), many)
@@ -347,6 +397,131 @@ def resolve_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+# -- states put together in groups of neighbours ---------------------------------------------------------------------------------
+
+#: Bytes of a block of bases, and of the states that go out in a batch; one state alone may have more.
+BLOCK, OUT = 4 << 20, 4 << 20
+#: Sources that name a version's place among its neighbours.
+PLACED = 32
+#: Place in the group of a block of bases and of an insert; states follow from 0 on.
+A_BLOCK, AN_INSERT = -2, -1
+
+
+def block_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from part, root_id, payload: neighbouring payloads compressed together. block, ids, sizes (null for a null payload), data."""
+    part, count, ids, parts, size = 0, 0, [], [], 0
+
+    def block():
+        sizes = [None if x is None else len(x) for x in parts]
+        data = pa.Codec("zstd", 3).compress(b"".join(x for x in parts if x is not None), asbytes=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(part << 32) + count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "sizes", "data"]
+        )
+
+    for batch in batches:
+        for part, key, value in zip(*(c.to_pylist() for c in batch.columns)):  # noqa: B020
+            ids.append(key)
+            parts.append(value)
+            size += len(value or b"")
+            if size >= BLOCK:
+                yield block()
+                count, ids, parts, size = count + 1, [], [], 0
+    if ids:
+        yield block()
+
+
+def place_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from columns, then block, root_id, base_len, fits, slices: the columns and block, root_id, len, path, fits, slices.
+
+    The slices are of the base and of inserts. path: block, root and the first sources by id. Parents mostly
+    have lower ids than their children; then versions in the order of their paths follow each other as in a walk down the tree.
+    """
+    for batch in batches:
+        blocks, roots, sizes, fits = (batch.column(i).to_pylist() for i in range(batch.num_columns - 5, batch.num_columns - 1))
+        flat, many = _flat(batch.column(batch.num_columns - 1))
+        good = np.array([bool(x) for x in fits], bool)
+        flat, many = composed_rows(_whole(np.array([n or 0 for n in sizes], np.int64)), np.ones(len(fits), np.int64), flat[np.repeat(good, many)], np.where(good, many, 0))
+        ends = np.cumsum(many)
+        lists = np.split(flat, ends[:-1])
+        paths = [[b, r, *np.unique(x[x[:, 0] != BASE, 0])[:PLACED].tolist()] for b, r, x in zip(blocks, roots, lists, strict=True)]
+        lens = pa.array([int(x[:, 2].sum()) for x in lists], pa.int64())
+        slices = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], 3 * ends]).astype(np.int32)), pa.array(flat.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], lens, pa.array(paths, pa.list_(pa.int64())), batch.column(batch.num_columns - 2), slices], [*batch.schema.names[:-3], "len", "path", "fits", "slices"])
+
+
+def group_columns(size: int):
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For mapInArrow, from part, len and other columns in the order of their places: group and at instead of part and len. A group has states of `size` bytes, and the one that goes beyond."""
+        group = at = held = 0
+        for batch in batches:
+            groups, places = [], []
+            for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= size:
+                    group, held = group + 1, 0
+                groups.append((part << 32) + group)
+                places.append(at)
+                at, held = at + 1, held + n
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(places, pa.int64()), *batch.columns[2:]], ["group", "at", *batch.schema.names[2:]])
+
+    return columns
+
+
+def need_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from group, block, slices: what each group needs of which source. group, of_base, source (a block if of_base), lo, hi."""
+    for batch in batches:
+        found: dict[tuple, list] = {}
+        for group, block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
+            for source, lo, n in x.tolist():
+                if source == BASE:
+                    found[group, True, block] = [0, 0]
+                elif at := found.get((group, False, source)):
+                    at[0], at[1] = min(at[0], lo), max(at[1], lo + n)
+                else:
+                    found[group, False, source] = [lo, lo + n]
+        rows = [(*k, *v) for k, v in found.items()]
+        names, kinds = ["group", "of_base", "source", "lo", "hi"], [pa.int64(), pa.bool_(), *[pa.int64()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def assemble_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from group, at, version_id, root_id, depth, lo, sizes, slices, payload, groups one after another and each in the order of `at`: version_id, root_id, depth, state."""
+    group, bases, inserts, out, size = None, {}, {}, [], 0
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["version_id", "root_id", "depth", "state"])
+
+    for batch in batches:
+        names = batch.schema.names
+        groups, places, ids, roots, depths, lows, sizes = (batch.column(names.index(c)).to_pylist() for c in ("group", "at", "version_id", "root_id", "depth", "lo", "sizes"))
+        slices, payload = batch.column(names.index("slices")), batch.column(names.index("payload"))
+        for i, at in enumerate(places):
+            if groups[i] != group:
+                group, bases, inserts = groups[i], {}, {}
+            if at == A_BLOCK:
+                data, place = memoryview(pa.Codec("zstd").decompress(payload[i].as_buffer(), sum(n or 0 for n in sizes[i]), asbytes=True)), 0
+                for key, n in zip(slices[i].as_py(), sizes[i]):
+                    bases[key] = data[place : place + (n or 0)]
+                    place += n or 0
+            elif at == AN_INSERT:
+                inserts[ids[i]] = lows[i], memoryview(payload[i].as_buffer())
+            else:
+                state = None
+                if slices[i].is_valid:
+                    parts, flat = [], slices[i].as_py()
+                    for source, place, n in zip(flat[::3], flat[1::3], flat[2::3]):
+                        low, data = (0, bases[roots[i]]) if source == BASE else inserts[source]
+                        parts.append(data[place - low : place - low + n])
+                    state = b"".join(parts)
+                out.append((ids[i], roots[i], depths[i], state))
+                size += len(state or b"")
+                if size >= OUT or len(out) >= 4096:
+                    yield rows()
+                    out, size = [], 0
+    if out:
+        yield rows()
+
+
 @arrow("binary")
 def together(parts: pd.Series) -> pd.Series:
     """An array of byte strings as one, in time in proportion to its size."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native, states
+from ..storage import small_batches, written
 from . import versions as v
 
 
@@ -57,8 +58,10 @@ def outcome(mode: str, run) -> dict:
 
 def reopened_mismatches(spark: SparkSession, path: str, replayed: DataFrame) -> DataFrame:
     """Writes states to path, reads them back in a new session and compares them with replayed."""
-    replayed.select("version_id", "state").write.mode("overwrite").parquet(path)
-    return v.mismatches(spark.newSession().read.parquet(path), replayed.select("version_id", "state"))
+    written(replayed.select("version_id", "state"), path)
+    fresh = spark.newSession()
+    small_batches(fresh)
+    return v.mismatches(fresh.read.parquet(path), replayed.select("version_id", "state"))
 
 
 def sizes(full: DataFrame, log: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native, states
-from ..storage import stored
+from ..storage import small_batches, stored
 
 
 def ways(versions: DataFrame, edits: DataFrame | None = None, slices: bool = False) -> DataFrame:
@@ -88,18 +88,41 @@ def payloads(edits: DataFrame, bases: DataFrame) -> DataFrame:
     return bases.select(F.lit(True).alias("of_base"), F.col("root_id").cast("long").alias("source"), "payload").union(own).where(F.octet_length("payload") > 0)
 
 
+#: Bytes of the states that are put together from the same payloads in a task.
+GROUP = 32 << 20
+
+
 def replayed(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bool = False) -> DataFrame:
     """version_id, root_id, depth, state: each version's bytes, put together from the slices that its way leaves.
 
-    A payload is read once and only the slices of it that a version still has
-    are moved: the shuffle is as large as the states, however deep the graph.
+    Versions that share much are dealt to groups of about GROUP bytes of states,
+    in the order of a walk down the tree. A group gets each payload that its
+    versions use once, cut to what they use, however many versions use it: the
+    shuffle is about as large as the payloads, not as the states. Bases go in
+    compressed blocks of neighbours. States come in the order of the walk.
     """
-    heads, slices = sliced(versions, edits, bases, strict)
-    bytes_of = F.substring("payload", (F.col("buf_start") + 1).cast("int"), F.col("len").cast("int"))
-    cut = slices.join(payloads(edits, bases), ["of_base", "source"]).select("version_id", F.struct("ordinal", bytes_of.alias("bytes")).alias("s"))
-    whole = cut.groupBy("version_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["bytes"]).alias("parts")).select("version_id", native.together("parts").alias("state"))
-    state = F.when(F.col("fits"), F.coalesce("state", F.lit(b"")))
-    return heads.join(whole, "version_id", "left").select("version_id", "root_id", "depth", state.alias("state"))
+    spark = versions.sparkSession
+    small_batches(spark)
+    blocks = stored(bases.select(F.spark_partition_id().alias("part"), F.col("root_id").cast("long").alias("root_id"), "payload").mapInArrow(native.block_columns, "block long, ids array<bigint>, sizes array<bigint>, data binary"), "blocks")
+    sized = blocks.select("block", F.explode(F.arrays_zip("ids", "sizes")).alias("b")).select("block", F.col("b.ids").alias("root_id"), F.col("b.sizes").alias("base_len"))
+    rows = ways(versions, edits, slices=True).join(sized, "root_id").withColumn("fits", _fits(strict))
+    long = [F.col(c).cast("long").alias(c) for c in ("version_id", "block", "root_id", "base_len")]
+    each = rows.select(long[0], F.col("depth").cast("int").alias("depth"), *long[1:], "fits", "slices").mapInArrow(native.place_columns, "version_id long, depth int, block long, root_id long, len long, path array<bigint>, fits boolean, slices array<bigint>")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(each, "paths").repartitionByRange(n, "path", "version_id").sortWithinPartitions("path", "version_id")
+    dealt = dealt.select(F.spark_partition_id().alias("part"), "len", "version_id", "root_id", "depth", "block", F.when(F.col("fits"), F.col("slices")).alias("slices"))
+    placed = stored(dealt.mapInArrow(native.group_columns(GROUP), "group long, at long, version_id long, root_id long, depth int, block long, slices array<bigint>"), "placed")
+    needs = placed.select("group", "block", F.coalesce("slices", F.array().cast("array<bigint>")).alias("slices")).mapInArrow(native.need_columns, "group long, of_base boolean, source long, lo long, hi long")
+    needs = needs.groupBy("group", "of_base", "source").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    none = lambda kind: F.lit(None).cast(kind)
+    inserts = needs.where("NOT of_base").join(edits.select(F.col("version_id").cast("long").alias("source"), F.col("insert").alias("payload")), "source")
+    inserts = inserts.select("group", F.lit(native.AN_INSERT).cast("long").alias("at"), F.col("source").alias("version_id"), none("long").alias("root_id"), none("int").alias("depth"), "lo", none("array<bigint>").alias("sizes"), none("array<bigint>").alias("slices"), F.substring("payload", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("payload"))
+    whole = needs.where("of_base").select("group", F.col("source").alias("block")).join(blocks, "block")
+    whole = whole.select("group", F.lit(native.A_BLOCK).cast("long").alias("at"), none("long").alias("version_id"), none("long").alias("root_id"), none("int").alias("depth"), none("long").alias("lo"), "sizes", F.col("ids").alias("slices"), F.col("data").alias("payload"))
+    own = placed.select("group", "at", "version_id", "root_id", "depth", none("long").alias("lo"), none("array<bigint>").alias("sizes"), "slices", none("binary").alias("payload"))
+    met = own.unionByName(inserts).unionByName(whole).repartition(n, "group").sortWithinPartitions("group", "at")
+    made = met.mapInArrow(native.assemble_columns, "version_id long, root_id long, depth int, state binary")
+    return made.select(*[F.col(c).cast(versions.schema[c].dataType).alias(c) for c in ("version_id", "root_id")], "depth", "state")
 
 
 def append_history(turns: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
@@ -126,8 +149,17 @@ def sample_indices(total: Column, samples: int) -> Column:
     return F.when(count < 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0).cast("long"))), at))
 
 
+def digests(table: DataFrame, key: str = "version_id", state: str = "state") -> DataFrame:
+    return table.select(key, F.sha2(F.col(state), 256).alias("digest"), states.state_len(state).alias("len"))
+
+
+def differing(left: DataFrame, right: DataFrame, key: str = "version_id") -> DataFrame:
+    """Of two tables of digests() the rows that differ or that one side lacks."""
+    a = left.select(key, F.col("digest").alias("left_digest"), F.col("len").alias("left_len"))
+    b = right.select(key, F.col("digest").alias("right_digest"), F.col("len").alias("right_len"))
+    return a.join(b, key, "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
+
+
 def mismatches(left: DataFrame, right: DataFrame, key: str = "version_id", state: str = "state") -> DataFrame:
     """Rows whose states differ or that one side lacks; none if two representations are equivalent. Digests are compared, not payloads shuffled."""
-    a = left.select(key, F.sha2(F.col(state), 256).alias("left_digest"), states.state_len(state).alias("left_len"))
-    b = right.select(key, F.sha2(F.col(state), 256).alias("right_digest"), states.state_len(state).alias("right_len"))
-    return a.join(b, key, "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
+    return differing(digests(left, key, state), digests(right, key, state), key)

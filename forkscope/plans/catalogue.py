@@ -136,14 +136,14 @@ def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ids = ids.withColumn("up", F.when(F.col("k") > 0, (F.col("k") * 7919 % 10007) % F.col("k")))
     above = ids.select("source", F.col("k").alias("up"), F.col("doc_id").alias("parent_id"))
     roots = ids.where("k = 0").select("source", F.col("doc_id").alias("root_id"))
-    ids = ids.join(above, ["source", "up"], "left").join(roots, "source").select("doc_id", "parent_id", "root_id")
-    rows = docs.join(ids, "doc_id")
+    ids = ids.join(above, ["source", "up"], "left").join(roots, "source").select(F.col("doc_id").alias("version_id"), "parent_id", "root_id")
+    first = F.broadcast(roots.select(F.col("root_id").alias("doc_id")))  # one of each source: texts stay where they are
     start, size = F.col("doc_id") * 131 % 64, F.col("doc_id") % 11
     return {
-        "version": rows.select(F.col("doc_id").alias("version_id"), "parent_id", "root_id"),
-        "edit": rows.where("parent_id IS NOT NULL").select(F.col("doc_id").alias("version_id"), start.alias("start"), size.alias("delete_len"), F.col("state").alias("insert")),
-        "base": rows.where("parent_id IS NULL").select("root_id", F.concat("state", F.lit("." * 80).cast("binary")).alias("payload")),
-    }
+        "version": ids,
+        "edit": docs.where("source IS NOT NULL").join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("version_id"), start.alias("start"), size.alias("delete_len"), F.col("state").alias("insert")),
+        "base": docs.join(first, "doc_id", "left_semi").select(F.col("doc_id").alias("root_id"), F.concat("state", F.lit("." * 80).cast("binary")).alias("payload")),
+    }
 
 
 GRAPH = DOCS + """, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM d),
