@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native, states
-from ..storage import small_batches, written
+from ..storage import small_batches, stored, written
 from . import versions as v
 
 
@@ -22,8 +22,11 @@ def delta_log(versions: DataFrame, edits: DataFrame, replayed: DataFrame, every:
 
 
 def restored(versions: DataFrame, log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """version_id, state of all versions from the two tables alone: the nearest snapshot above, and the edits since."""
-    kept = snapshots.select("version_id", F.col("version_id").alias("kept"))
+    """version_id, state of all versions from the two tables alone: the nearest snapshot above, and the edits since.
+
+    The snapshots are stored in blocks before this returns and not read after it.
+    """
+    kept = stored(snapshots.select("version_id", F.col("version_id").alias("kept")), "kept")
     # Cut the graph at the snapshots: each becomes a root of its own, so ways are short.
     cut = versions.join(kept, "version_id", "left")
     cut = cut.select("version_id", F.when(F.col("kept").isNull(), F.col("parent_id")).alias("parent_id"), F.lit(0).cast("long").alias("root_id"))

@@ -15,7 +15,7 @@ from ..functions import native, states
 from ..operators import checkpoints, corpus, dedup, pieces, prepare, report, versions
 from ..operators.ranks import ranked
 from ..sources import manifests
-from ..storage import new_path, stored
+from ..storage import dropped, new_path, stored
 from . import runner
 from .workload import TEMPLATES, Config, Kind
 
@@ -524,12 +524,16 @@ WITH {GRAPH} SELECT count(*) AS versions, sum(octet_length(state))::BIGINT AS fu
 def checkpoint_layouts(spark, sf_dir):
     """Full states against a delta log with a full state every four levels, restored and compared."""
     t = graph(spark, sf_dir)
-    t = {k: stored(x, k) for k, x in t.items()}
-    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]), "flat")
-    log, kept = checkpoints.delta_log(t["version"], t["edit"], flat, every=4)
-    back = checkpoints.restored(t["version"], stored(log, "log"), stored(kept, "kept"))
-    wrong = versions.mismatches(flat.select("version_id", "state"), back).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
-    sizes = checkpoints.sizes(flat, log, kept).withColumn("k", F.lit(0)).join(flat.agg(F.count("*").alias("versions")).withColumn("k", F.lit(0)), "k")
+    version = stored(t["version"], "version")
+    flat = stored(versions.replayed(version, t["edit"], t["base"]), "flat")
+    log, kept = checkpoints.delta_log(version, t["edit"], flat, every=4)
+    log = stored(log, "log")
+    one = lambda df: df.withColumn("k", F.lit(0))
+    sizes = stored(one(checkpoints.sizes(flat, log, kept)).join(one(flat.agg(F.count("*").alias("versions"))), "k"), "sizes")
+    full = stored(versions.digests(flat), "digests")
+    back = checkpoints.restored(version, log, kept)
+    dropped(flat)  # its sizes, its digests and the snapshots cut from it are stored
+    wrong = one(versions.differing(full, versions.digests(back)).agg(F.count("*").alias("mismatches")))
     return sizes.join(wrong, "k").select("versions", "full_bytes", "log_bytes", "snapshot_bytes", "mismatches")
 
 

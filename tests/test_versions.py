@@ -11,6 +11,7 @@ from forkscope.functions import native, states
 from forkscope.operators import checkpoints, dedup, pieces, report, versions
 from forkscope.plans import runner, workload
 from forkscope.plans.workload import Config, Kind
+from forkscope.storage import dropped, stored
 
 
 def random_graph(spark, seed, n, roots=2, base=300):
@@ -75,6 +76,15 @@ def test_checkpoints(spark, made):
     assert got == dict(enumerate(want))
 
 
+def test_restored_needs_the_full_states_no_longer(spark, made):
+    want, version, edit, base = made
+    flat = stored(versions.replayed(version, edit, base), "flat")
+    log, kept = checkpoints.delta_log(version, edit, flat, every=3)
+    back = checkpoints.restored(version, stored(log, "log"), kept)
+    dropped(flat)
+    assert {r.version_id: bytes(r.state) for r in back.collect()} == dict(enumerate(want))
+
+
 def plain_composed(first, then):
     """Slices by bytes: each byte of the result by itself."""
     every = [(s, a + i) for s, a, n in first for i in range(min(n, 600))]
