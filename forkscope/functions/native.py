@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,11 +117,11 @@ def chunk_ends(data: bytes, sizes: ChunkSizes) -> list[int]:
         h = np.concatenate([h[:span], h[span:] ^ turned])
         span *= 2
     ends = np.flatnonzero((h & np.uint64(sizes.mask)) == 0) + 1
-    ends = ends[ends >= WINDOW]
-    out, start = [], 0
+    ends = ends[ends >= WINDOW].tolist()
+    out, start, k = [], 0, 0
     while start < n:
-        k = int(np.searchsorted(ends, start + sizes.least))
-        natural = int(ends[k]) if k < len(ends) else n + 1
+        k = bisect_left(ends, start + sizes.least, k)
+        natural = ends[k] if k < len(ends) else n + 1
         end = min(natural, start + sizes.greatest)
         if end > n:
             end = n
@@ -522,6 +524,145 @@ def assemble_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield rows()
 
 
+# -- chunks and pieces in the same groups ----------------------------------------------------------------------------------------
+
+
+def group_chunk_columns(average: int, group_bytes: int):
+    sizes = ChunkSizes(average)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For mapInArrow, from part, key, state in the order of their places: key, group, at, len, chunks of each state and number, digest, payload of each chunk that is new in its group.
+
+        chunks: the numbers of a state's chunks in its group. A group has states of `group_bytes` bytes, and the one that goes beyond.
+        """
+        group = at = held = 0
+        numbers: dict[bytes, int] = {}
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
+
+        def rows(keys, *values):
+            return pa.RecordBatch.from_arrays([keys, *[pa.array(v if v is not None else [None] * len(keys), k) for v, k in zip(values, kinds, strict=True)]], ["key", "group", "at", "len", "chunks", "number", "digest", "payload"])
+
+        for batch in batches:
+            groups, places, lens, lists, new = [], [], [], [], []
+            for part, state in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if held >= group_bytes:
+                    group, held, numbers = group + 1, 0, {}
+                own = None
+                if state.is_valid:
+                    own, data, start = [], state.as_py(), 0
+                    for end in chunk_ends(data, sizes):
+                        chunk, start = data[start:end], end
+                        number = numbers.get(chunk)
+                        if number is None:
+                            number = numbers[chunk] = len(numbers)
+                            new.append(((part << 32) + group, number, chunk))
+                        own.append(number)
+                    held += len(data)
+                groups.append((part << 32) + group)
+                places.append(at)
+                lens.append(len(data) if own is not None else None)
+                lists.append(own)
+                at += 1
+            yield rows(batch.column(1), groups, places, lens, lists, None, None, None)
+            if new:
+                yield rows(pa.nulls(len(new), batch.column(1).type), [g for g, _, _ in new], None, None, None, [n for _, n, _ in new], [hashlib.sha256(c).digest() for _, _, c in new], [c for _, _, c in new])
+
+    return columns
+
+
+def once_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from digest, group, number, payload in the order of digests: each digest once, with one payload and the groups and numbers that it has there."""
+    digest, payload, groups, numbers, out = None, None, [], [], []
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["digest", "payload", "groups", "numbers"])
+
+    for batch in batches:
+        for d, group, number, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if d != digest:
+                if groups:
+                    out.append((digest, payload, groups, numbers))
+                digest, payload, groups, numbers = d, data, [], []
+            groups.append(group)
+            numbers.append(number)
+        if len(out) >= 4096:
+            yield rows()
+            out = []
+    if groups:
+        out.append((digest, payload, groups, numbers))
+        yield rows()
+
+
+def _states(kind: pa.DataType, keys: list, states: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(states, pa.binary())], ["key", "state"])
+
+
+def join_chunk_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from group, at, number, payload, key, chunks, groups one after another, in each the chunks (at is AN_INSERT) first: key and state of each state. One that lacks a chunk is null."""
+    group, held, keys, out, size = None, {}, [], [], 0
+    for batch in batches:
+        kind, payload, lists = batch.column(4).type, batch.column(3), batch.column(5)
+        for i, (g, at, number, key) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
+            if g != group:
+                group, held = g, {}
+            if at == AN_INSERT:
+                held[number] = payload[i].as_py()
+                continue
+            state = None
+            if lists[i].is_valid:
+                parts = [held.get(n) for n in lists[i].values.to_numpy().tolist()]
+                state = b"".join(parts) if None not in parts else None
+            keys.append(key)
+            out.append(state)
+            size += len(state or b"")
+            if size >= OUT or len(out) >= 4096:
+                yield _states(kind, keys, out)
+                keys, out, size = [], [], 0
+    if out:
+        yield _states(kind, keys, out)
+
+
+def join_piece_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow, from group, at, ordinal, key, buffer_id, lo, len, payload, groups one after another: key and state of each version.
+
+    In a group its buffers (at is AN_INSERT) come first, each from its byte lo on; then each version
+    (ordinal is -1; with its len) and its pieces. A version that lacks a buffer, or has no piece where its len is not 0, is null.
+    """
+    group, held, keys, out, size = None, {}, [], [], 0
+    key = parts = empty = kind = None
+
+    def done():
+        state = None if None in parts or not (parts or empty) else b"".join(parts)
+        keys.append(key)
+        out.append(state)
+        return len(state or b"")
+
+    for batch in batches:
+        kind, payload = batch.column(3).type, batch.column(7)
+        for i, (g, at, ordinal, k, buffer, lo, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+            if ordinal == -1 or at == AN_INSERT:
+                if parts is not None:
+                    size += done()
+                    parts = None
+                if g != group:
+                    group, held = g, {}
+                if size >= OUT or len(out) >= 4096:
+                    yield _states(kind, keys, out)
+                    keys, out, size = [], [], 0
+            if at == AN_INSERT:
+                held[buffer] = lo, memoryview(payload[i].as_buffer())
+            elif ordinal == -1:
+                key, parts, empty = k, [], n == 0
+            else:
+                low, data = held.get(buffer, (0, None))
+                parts.append(data if data is None else data[lo - low : lo - low + n])
+    if parts is not None:
+        done()
+    if out:
+        yield _states(kind, keys, out)
+
+
 @arrow("binary")
 def together(parts: pd.Series) -> pd.Series:
     """An array of byte strings as one, in time in proportion to its size."""

@@ -50,6 +50,25 @@ def read_ranges(reads: DataFrame, pieces: DataFrame, buffers: DataFrame) -> Data
     return reads.join(read, ["version_id", "read_start", "read_len"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
 
 
+def whole(places: DataFrame, pieces: DataFrame, buffers: DataFrame) -> DataFrame:
+    """version_id, state: versions read whole from their pieces. places: version_id, group, at, len.
+
+    A group gets each buffer that its versions use once, cut to what they use, so
+    that buffers move and not states. Groups are of versions that share much, as in grouped_chunks().
+    """
+    n, kind = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), places.schema["version_id"].dataType.simpleString()
+    hit = pieces.join(places.select("version_id", "group", "at"), "version_id").select("group", "at", "ordinal", "buffer_id", F.col("buf_start").alias("lo"), "len")
+    hit = stored(hit.repartition(n, "group").sortWithinPartitions("group", "at", "ordinal"), "placed-pieces")
+    none = lambda kind: F.lit(None).cast(kind)
+    needs = hit.groupBy("group", "buffer_id").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("len")).alias("hi")).join(buffers.select("buffer_id", "payload"), "buffer_id")
+    cut = F.substring("payload", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    needs = needs.select("group", F.lit(native.AN_INSERT).cast("long").alias("at"), F.lit(0).alias("ordinal"), none(kind).alias("key"), "buffer_id", "lo", (F.col("hi") - F.col("lo")).alias("len"), cut.alias("payload"))
+    own = places.select("group", "at", F.lit(-1).alias("ordinal"), F.col("version_id").alias("key"), none("string").alias("buffer_id"), none("long").alias("lo"), "len", none("binary").alias("payload"))
+    parts = hit.select("group", "at", "ordinal", none(kind).alias("key"), "buffer_id", "lo", "len", none("binary").alias("payload"))
+    met = needs.unionByName(own).unionByName(parts).repartition(n, "group").sortWithinPartitions("group", "at", "ordinal")
+    return met.mapInArrow(native.join_piece_columns, f"key {kind}, state binary").withColumnRenamed("key", "version_id")
+
+
 def faults(pieces: DataFrame, buffers: DataFrame, leaf: int | None = None) -> DataFrame:
     """Pieces that break an invariant: gaps, empty or too long pieces, slices outside their buffer."""
     before = F.lag(F.col("ver_start") + F.col("len"), 1, 0).over(Window.partitionBy("version_id").orderBy("ordinal"))

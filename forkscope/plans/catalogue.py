@@ -447,14 +447,19 @@ def sample_indices(spark, sf_dir):
 def equivalence(spark, sf_dir):
     """States replayed from edits against states read whole from piece tables and states put together from stored chunks."""
     t = graph(spark, sf_dir)
-    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]), "flat").select("version_id", "state")
+    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]).select("version_id", "state"), "flat")
+    own = stored(versions.digests(flat), "digests")
+    manifest, chunks = dedup.grouped_chunks(flat, "version_id", "state", 256)
+    dropped(flat)  # each representation goes when its digests are there
+    store = stored(dedup.grouped_store(chunks), "store")
+    chunked = stored(versions.digests(dedup.grouped_states(manifest, store, "version_id")), "digests")
+    places = stored(manifest.select("version_id", "group", "at", "len"), "places")
+    dropped(store, manifest)
     piece, buffers = pieces.piece_tables(t["version"], t["edit"], t["base"])
-    whole = flat.select("version_id", F.lit(0).cast("long").alias("read_start"), states.state_len("state").alias("read_len"))
-    read = pieces.read_ranges(whole, piece, buffers).select("version_id", F.col("bytes").alias("state"))
-    manifest = stored(dedup.chunk_manifest(flat, "version_id", "state", 256), "manifest")
-    chunked = dedup.rebuilt(manifest, dedup.chunk_store(manifest, flat, "version_id", "state"), "version_id")
-    wrong = versions.mismatches(flat, read).union(versions.mismatches(flat, chunked)).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
-    return flat.agg(F.count("*").alias("versions")).withColumn("k", F.lit(0)).join(wrong, "k").select("versions", "mismatches")
+    read = stored(versions.digests(pieces.whole(places, piece, buffers)), "digests")
+    dropped(piece, buffers)
+    wrong = versions.differing(own, read).union(versions.differing(own, chunked)).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
+    return own.agg(F.count("*").alias("versions")).withColumn("k", F.lit(0)).join(wrong, "k").select("versions", "mismatches")
 
 
 @query("""SELECT lang, count(*) AS snapshots, sum(octet_length(encode(text)))::DECIMAL(38, 0)::VARCHAR AS logical_bytes, round(sum(octet_length(encode(text))) / 1048576, 3) AS mib, round(sum(octet_length(encode(text))) / 1000, 3) AS thousands FROM documents GROUP BY lang""")
