@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 
@@ -100,25 +101,30 @@ class ChunkSizes:
         self.mask = (1 << (average - 1).bit_length()) - 1
 
 
-def chunk_ends(data: bytes, sizes: ChunkSizes) -> list[int]:
-    """Ends of the content-defined chunks.
+def candidates(data: bytes, mask: int) -> list[int]:
+    """Places behind which a chunk may end, by the last WINDOW bytes before each.
 
     The rolling hash turns by one bit a byte and a byte leaves after 64 turns,
     so the hash is a function of the last 64 bytes: six doubling steps give it
-    for all places at once. The boundaries are then picked from the candidates.
+    for all places at once.
     """
     n = len(data)
-    if not n:
-        return []
     h = gears()[np.frombuffer(data, np.uint8)]
     span = 1
     while span < WINDOW:
         turned = (h[:-span] << np.uint64(span)) | (h[:-span] >> np.uint64(64 - span)) if n > span else h[:0]
-        h = np.concatenate([h[:span], h[span:] ^ turned])
+        h[span:] ^= turned
         span *= 2
-    ends = np.flatnonzero((h & np.uint64(sizes.mask)) == 0) + 1
-    ends = ends[ends >= WINDOW].tolist()
-    out, start, k = [], 0, 0
+    ends = np.flatnonzero((h & np.uint64(mask)) == 0) + 1
+    return ends[ends >= WINDOW].tolist()
+
+
+def chunk_ends(data: bytes, sizes: ChunkSizes) -> list[int]:
+    """Ends of the content-defined chunks, picked from the candidates."""
+    n = len(data)
+    if not n:
+        return []
+    ends, out, start, k = candidates(data, sizes.mask), [], 0, 0
     while start < n:
         k = bisect_left(ends, start + sizes.least, k)
         natural = ends[k] if k < len(ends) else n + 1
@@ -130,6 +136,59 @@ def chunk_ends(data: bytes, sizes: ChunkSizes) -> list[int]:
     return out
 
 
+class GroupChunks:
+    """The distinct chunks of a group of states, numbered as they come.
+
+    Where no chunk is shorter than the window, its end is a function of its own
+    bytes, of none before and none behind: then a chunk that the group has is
+    found by its first bytes and one comparison, and only what is new is hashed.
+    """
+
+    #: Bytes that are hashed at once where a chunk is new.
+    AHEAD = 8192
+
+    def __init__(self, sizes: ChunkSizes):
+        self.sizes, self.chunks, self.numbers, self.by_head, self.tails = sizes, [], {}, {}, {}
+
+    def number(self, chunk: bytes) -> int:
+        found = self.numbers.setdefault(chunk, len(self.chunks))
+        if found == len(self.chunks):
+            self.chunks.append(chunk)
+        return found
+
+    def of(self, data: bytes) -> list[int]:
+        """The numbers of a state's chunks, whose ends are those of chunk_ends()."""
+        sizes, n, out, start = self.sizes, len(data), [], 0
+        if sizes.least < WINDOW:
+            ends = chunk_ends(data, sizes)
+            return [self.number(data[a:b]) for a, b in zip([0, *ends], ends)]
+        least, greatest, chunks, by_head = sizes.least, sizes.greatest, self.chunks, self.by_head
+        ends, k, known = [], 0, 0  # candidates in data[:known], as far as they have been asked for
+        while start < n:
+            head = data[start : start + least]
+            found = by_head.get(head)
+            if found is not None and data.startswith(chunks[found], start):
+                out.append(found)
+                start += len(chunks[found])
+                continue
+            if n - start <= greatest and (found := self.tails.get(data[start:])) is not None:
+                out.append(found)
+                break
+            if known < min(n, start + greatest):
+                known = min(n, start + max(self.AHEAD, greatest))
+                ends, k = [start + x for x in candidates(data[start:known], sizes.mask)], 0
+            k = bisect_left(ends, start + least, k)
+            end = min(ends[k] if k < len(ends) else n + 1, start + greatest)
+            found = self.number(data[start : min(end, n)])
+            if end <= n:
+                by_head[head] = found
+            else:
+                self.tails[data[start:]] = found
+            out.append(found)
+            start = end
+        return out
+
+
 def chunks_udf(average: int):
     sizes = ChunkSizes(average)
 
@@ -531,41 +590,45 @@ def group_chunk_columns(average: int, group_bytes: int):
     sizes = ChunkSizes(average)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For mapInArrow, from part, key, state in the order of their places: key, group, at, len, chunks of each state and number, digest, payload of each chunk that is new in its group.
+        """For mapInArrow, from part, key, state in the order of their places: key, group, at, len, state_digest, chunks of each state and number, digest, payload of each chunk that is new in its group.
 
         chunks: the numbers of a state's chunks in its group. A group has states of `group_bytes` bytes, and the one that goes beyond.
         """
         group = at = held = 0
-        numbers: dict[bytes, int] = {}
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
+        own = GroupChunks(sizes)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
 
         def rows(keys, *values):
-            return pa.RecordBatch.from_arrays([keys, *[pa.array(v if v is not None else [None] * len(keys), k) for v, k in zip(values, kinds, strict=True)]], ["key", "group", "at", "len", "chunks", "number", "digest", "payload"])
+            return pa.RecordBatch.from_arrays([keys, *[pa.array(v if v is not None else [None] * len(keys), k) for v, k in zip(values, kinds, strict=True)]], ["key", "group", "at", "len", "state_digest", "chunks", "number", "digest", "payload"])
 
         for batch in batches:
-            groups, places, lens, lists, new = [], [], [], [], []
+            groups, places, lens, sums, lists, new = [], [], [], [], [], []
             for part, state in zip(batch.column(0).to_pylist(), batch.column(2)):
                 if held >= group_bytes:
-                    group, held, numbers = group + 1, 0, {}
-                own = None
-                if state.is_valid:
-                    own, data, start = [], state.as_py(), 0
-                    for end in chunk_ends(data, sizes):
-                        chunk, start = data[start:end], end
-                        number = numbers.get(chunk)
-                        if number is None:
-                            number = numbers[chunk] = len(numbers)
-                            new.append(((part << 32) + group, number, chunk))
-                        own.append(number)
-                    held += len(data)
+                    group, held, own = group + 1, 0, GroupChunks(sizes)
+                data, before = state.as_py(), len(own.chunks)
                 groups.append((part << 32) + group)
                 places.append(at)
-                lens.append(len(data) if own is not None else None)
-                lists.append(own)
-                at += 1
-            yield rows(batch.column(1), groups, places, lens, lists, None, None, None)
+                lens.append(None if data is None else len(data))
+                sums.append(None if data is None else hashlib.sha256(data).hexdigest())
+                lists.append(None if data is None else own.of(data))
+                new += [(groups[-1], k, own.chunks[k]) for k in range(before, len(own.chunks))]
+                at, held = at + 1, held + len(data or b"")
+            yield rows(batch.column(1), groups, places, lens, sums, lists, None, None, None)
             if new:
-                yield rows(pa.nulls(len(new), batch.column(1).type), [g for g, _, _ in new], None, None, None, [n for _, n, _ in new], [hashlib.sha256(c).digest() for _, _, c in new], [c for _, _, c in new])
+                yield rows(pa.nulls(len(new), batch.column(1).type), [g for g, _, _ in new], None, None, None, None, [n for _, n, _ in new], [hashlib.sha256(c).digest() for _, _, c in new], [c for _, _, c in new])
+
+    return columns
+
+
+def assembled_chunk_columns(average: int, group_bytes: int):
+    """For mapInArrow: group_chunk_columns() of what assemble_columns() makes, without a state leaving the task. The key is version_id."""
+    chunked = group_chunk_columns(average, group_bytes)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        made = assemble_columns(batches)
+        return chunked(pa.RecordBatch.from_arrays([pa.array([part] * b.num_rows, pa.int64()), b.column(0), b.column(3)], ["part", "key", "state"]) for b in made)
 
     return columns
 
@@ -594,73 +657,87 @@ def once_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _states(kind: pa.DataType, keys: list, states: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(states, pa.binary())], ["key", "state"])
+class Made:
+    """States on their way out, or their digests alone: key and state, or key, digest and len."""
 
+    def __init__(self, digests: bool):
+        self.digests, self.keys, self.values, self.size = digests, [], [], 0
 
-def join_chunk_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow, from group, at, number, payload, key, chunks, groups one after another, in each the chunks (at is AN_INSERT) first: key and state of each state. One that lacks a chunk is null."""
-    group, held, keys, out, size = None, {}, [], [], 0
-    for batch in batches:
-        kind, payload, lists = batch.column(4).type, batch.column(3), batch.column(5)
-        for i, (g, at, number, key) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
-            if g != group:
-                group, held = g, {}
-            if at == AN_INSERT:
-                held[number] = payload[i].as_py()
-                continue
-            state = None
-            if lists[i].is_valid:
-                parts = [held.get(n) for n in lists[i].values.to_numpy().tolist()]
-                state = b"".join(parts) if None not in parts else None
-            keys.append(key)
-            out.append(state)
-            size += len(state or b"")
-            if size >= OUT or len(out) >= 4096:
-                yield _states(kind, keys, out)
-                keys, out, size = [], [], 0
-    if out:
-        yield _states(kind, keys, out)
-
+    def add(self, key, state: bytes | None) -> None:
+        self.keys.append(key)
+        self.values.append(state if not self.digests else (None, None) if state is None else (hashlib.sha256(state).hexdigest(), len(state)))
+        self.size += 0 if self.digests else len(state or b"")
 
-def join_piece_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow, from group, at, ordinal, key, buffer_id, lo, len, payload, groups one after another: key and state of each version.
+    def full(self) -> bool:
+        return self.size >= OUT or len(self.keys) >= 4096
 
-    In a group its buffers (at is AN_INSERT) come first, each from its byte lo on; then each version
-    (ordinal is -1; with its len) and its pieces. A version that lacks a buffer, or has no piece where its len is not 0, is null.
-    """
-    group, held, keys, out, size = None, {}, [], [], 0
-    key = parts = empty = kind = None
+    def out(self, kind: pa.DataType) -> pa.RecordBatch:
+        keys, values = self.keys, self.values
+        self.keys, self.values, self.size = [], [], 0
+        if self.digests:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([d for d, _ in values], pa.string()), pa.array([n for _, n in values], pa.int64())], ["key", "digest", "len"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(values, pa.binary())], ["key", "state"])
 
-    def done():
-        state = None if None in parts or not (parts or empty) else b"".join(parts)
-        keys.append(key)
-        out.append(state)
-        return len(state or b"")
 
-    for batch in batches:
-        kind, payload = batch.column(3).type, batch.column(7)
-        for i, (g, at, ordinal, k, buffer, lo, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
-            if ordinal == -1 or at == AN_INSERT:
-                if parts is not None:
-                    size += done()
-                    parts = None
+def join_chunk_columns(digests: bool = False):
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For mapInArrow, from group, at, number, payload, key, chunks, groups one after another, in each the chunks (at is AN_INSERT) first: each state. One that lacks a chunk is null."""
+        group, held, made = None, {}, Made(digests)
+        for batch in batches:
+            kind, payload, lists = batch.column(4).type, batch.column(3), batch.column(5)
+            for i, (g, at, number, key) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                 if g != group:
                     group, held = g, {}
-                if size >= OUT or len(out) >= 4096:
-                    yield _states(kind, keys, out)
-                    keys, out, size = [], [], 0
-            if at == AN_INSERT:
-                held[buffer] = lo, memoryview(payload[i].as_buffer())
-            elif ordinal == -1:
-                key, parts, empty = k, [], n == 0
-            else:
-                low, data = held.get(buffer, (0, None))
-                parts.append(data if data is None else data[lo - low : lo - low + n])
-    if parts is not None:
-        done()
-    if out:
-        yield _states(kind, keys, out)
+                if at == AN_INSERT:
+                    held[number] = payload[i].as_py()
+                    continue
+                state = None
+                if lists[i].is_valid:
+                    parts = [held.get(n) for n in lists[i].values.to_numpy().tolist()]
+                    state = b"".join(parts) if None not in parts else None
+                made.add(key, state)
+                if made.full():
+                    yield made.out(kind)
+        if made.keys:
+            yield made.out(kind)
+
+    return columns
+
+
+def join_piece_columns(digests: bool = False):
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For mapInArrow, from group, at, ordinal, key, buffer_id, lo, len, payload, groups one after another: each version's state.
+
+        In a group its buffers (at is AN_INSERT) come first, each from its byte lo on; then each version
+        (ordinal is -1; with its len) and its pieces. A version that lacks a buffer, or has no piece where its len is not 0, is null.
+        """
+        group, held, made = None, {}, Made(digests)
+        key = parts = empty = None
+        whole = lambda: None if None in parts or not (parts or empty) else b"".join(parts)
+        for batch in batches:
+            kind, payload = batch.column(3).type, batch.column(7)
+            for i, (g, at, ordinal, k, buffer, lo, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+                if ordinal == -1 or at == AN_INSERT:
+                    if parts is not None:
+                        made.add(key, whole())
+                        parts = None
+                    if g != group:
+                        group, held = g, {}
+                    if made.full():
+                        yield made.out(kind)
+                if at == AN_INSERT:
+                    held[buffer] = lo, memoryview(payload[i].as_buffer())
+                elif ordinal == -1:
+                    key, parts, empty = k, [], n == 0
+                else:
+                    low, data = held.get(buffer, (0, None))
+                    parts.append(data if data is None else data[lo - low : lo - low + n])
+        if parts is not None:
+            made.add(key, whole())
+        if made.keys:
+            yield made.out(kind)
+
+    return columns
 
 
 @arrow("binary")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..functions.native import chunks_udf, together
 from ..storage import stored
-from .versions import GROUP
+from .versions import GROUP, met_in_groups
 
 #: Bytes of a chunk's and of a manifest entry's bookkeeping.
 CHUNK_HEAD, REFERENCE = 16, 16
@@ -59,13 +59,25 @@ def rebuilt(manifest: DataFrame, store: DataFrame, key: str) -> DataFrame:
 def grouped_chunks(states: DataFrame, key: str, payload: str, average: int = 4096, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(manifest, chunks) of states that lie beside others that they share much with, as replayed() leaves them. Both are in one stored table.
 
-    manifest: key, group, at, len, chunks: each state as the numbers of its chunks in its group, of about `group` bytes of states.
+    manifest: key, group, at, len, state_digest, chunks: each state as the numbers of its chunks in its group, of about `group` bytes of states.
     chunks: group, number, digest, payload: the distinct chunks of each group. Boundaries are those of chunk_manifest.
     """
-    rows = states.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(payload).alias("state"))
-    kind = states.schema[key].dataType.simpleString()
-    rows = stored(rows.mapInArrow(native.group_chunk_columns(average, group), f"key {kind}, group long, at long, len long, chunks array<int>, number int, digest binary, payload binary"), "chunks")
-    manifest = rows.where("digest IS NULL").select(F.col("key").alias(key), "group", "at", "len", "chunks")
+    rows = states.select(F.spark_partition_id().cast("long").alias("part"), F.col(key).alias("key"), F.col(payload).alias("state"))
+    return _of_groups(rows.mapInArrow(native.group_chunk_columns(average, group), _GROUPED.format(states.schema[key].dataType.simpleString())), key)
+
+
+def replayed_chunks(versions: DataFrame, edits: DataFrame, bases: DataFrame, average: int = 4096, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """grouped_chunks() of the states of replayed(), chunked in the task that replays them: no state is stored or leaves it."""
+    made = met_in_groups(versions, edits, bases).mapInArrow(native.assembled_chunk_columns(average, group), _GROUPED.format("long"))
+    return _of_groups(made.withColumn("key", F.col("key").cast(versions.schema["version_id"].dataType)), "version_id")
+
+
+_GROUPED = "key {}, group long, at long, len long, state_digest string, chunks array<int>, number int, digest binary, payload binary"
+
+
+def _of_groups(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    rows = stored(rows, "chunks")
+    manifest = rows.where("digest IS NULL").select(F.col("key").alias(key), "group", "at", "len", "state_digest", "chunks")
     return manifest, rows.where("digest IS NOT NULL").select("group", "number", "digest", "payload")
 
 
@@ -76,14 +88,14 @@ def grouped_store(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(native.once_columns, "digest binary, payload binary, groups array<bigint>, numbers array<int>")
 
 
-def grouped_states(manifest: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """key, state: the states of a manifest of groups put together again from stored chunks. A group gets each chunk once, however many of its states have it."""
+def grouped_states(manifest: DataFrame, store: DataFrame, key: str, digests: bool = False) -> DataFrame:
+    """key, state (or key, digest, len): the states of a manifest of groups put together again from stored chunks. A group gets each chunk once, however many of its states have it."""
     n, kind = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.schema[key].dataType.simpleString()
     sent = store.select("payload", F.explode(F.arrays_zip("groups", "numbers")).alias("u"))
     sent = sent.select(F.col("u.groups").alias("group"), F.lit(native.AN_INSERT).cast("long").alias("at"), F.col("u.numbers").alias("number"), "payload", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("array<int>").alias("chunks"))
     own = manifest.select("group", "at", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("payload"), F.col(key).alias("key"), "chunks")
     met = sent.unionByName(own).repartition(n, "group").sortWithinPartitions("group", "at")
-    return met.mapInArrow(native.join_chunk_columns, f"key {kind}, state binary").withColumnRenamed("key", key)
+    return met.mapInArrow(native.join_chunk_columns(digests), f"key {kind}, " + ("digest string, len long" if digests else "state binary")).withColumnRenamed("key", key)
 
 
 def chunk_at(manifest: DataFrame, key: str, offsets: DataFrame, offset: str) -> DataFrame:

@@ -50,8 +50,8 @@ def read_ranges(reads: DataFrame, pieces: DataFrame, buffers: DataFrame) -> Data
     return reads.join(read, ["version_id", "read_start", "read_len"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
 
 
-def whole(places: DataFrame, pieces: DataFrame, buffers: DataFrame) -> DataFrame:
-    """version_id, state: versions read whole from their pieces. places: version_id, group, at, len.
+def whole(places: DataFrame, pieces: DataFrame, buffers: DataFrame, digests: bool = False) -> DataFrame:
+    """version_id, state (or version_id, digest, len): versions read whole from their pieces. places: version_id, group, at, len.
 
     A group gets each buffer that its versions use once, cut to what they use, so
     that buffers move and not states. Groups are of versions that share much, as in grouped_chunks().
@@ -66,7 +66,7 @@ def whole(places: DataFrame, pieces: DataFrame, buffers: DataFrame) -> DataFrame
     own = places.select("group", "at", F.lit(-1).alias("ordinal"), F.col("version_id").alias("key"), none("string").alias("buffer_id"), none("long").alias("lo"), "len", none("binary").alias("payload"))
     parts = hit.select("group", "at", "ordinal", none(kind).alias("key"), "buffer_id", "lo", "len", none("binary").alias("payload"))
     met = needs.unionByName(own).unionByName(parts).repartition(n, "group").sortWithinPartitions("group", "at", "ordinal")
-    return met.mapInArrow(native.join_piece_columns, f"key {kind}, state binary").withColumnRenamed("key", "version_id")
+    return met.mapInArrow(native.join_piece_columns(digests), f"key {kind}, " + ("digest string, len long" if digests else "state binary")).withColumnRenamed("key", "version_id")
 
 
 def faults(pieces: DataFrame, buffers: DataFrame, leaf: int | None = None) -> DataFrame:

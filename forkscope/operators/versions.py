@@ -93,13 +93,19 @@ GROUP = 32 << 20
 
 
 def replayed(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bool = False) -> DataFrame:
-    """version_id, root_id, depth, state: each version's bytes, put together from the slices that its way leaves.
+    """version_id, root_id, depth, state: each version's bytes, put together from the slices that its way leaves. States come in the order of a walk down the tree."""
+    made = met_in_groups(versions, edits, bases, strict).mapInArrow(native.assemble_columns, "version_id long, root_id long, depth int, state binary")
+    return made.select(*[F.col(c).cast(versions.schema[c].dataType).alias(c) for c in ("version_id", "root_id")], "depth", "state")
+
+
+def met_in_groups(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bool = False) -> DataFrame:
+    """Versions and the payloads that they are made of, group by group, for native.assemble_columns.
 
     Versions that share much are dealt to groups of about GROUP bytes of states,
     in the order of a walk down the tree. A group gets each payload that its
     versions use once, cut to what they use, however many versions use it: the
     shuffle is about as large as the payloads, not as the states. Bases go in
-    compressed blocks of neighbours. States come in the order of the walk.
+    compressed blocks of neighbours.
     """
     spark = versions.sparkSession
     small_batches(spark)
@@ -120,9 +126,7 @@ def replayed(versions: DataFrame, edits: DataFrame, bases: DataFrame, strict: bo
     whole = needs.where("of_base").select("group", F.col("source").alias("block")).join(blocks, "block")
     whole = whole.select("group", F.lit(native.A_BLOCK).cast("long").alias("at"), none("long").alias("version_id"), none("long").alias("root_id"), none("int").alias("depth"), none("long").alias("lo"), "sizes", F.col("ids").alias("slices"), F.col("data").alias("payload"))
     own = placed.select("group", "at", "version_id", "root_id", "depth", none("long").alias("lo"), none("array<bigint>").alias("sizes"), "slices", none("binary").alias("payload"))
-    met = own.unionByName(inserts).unionByName(whole).repartition(n, "group").sortWithinPartitions("group", "at")
-    made = met.mapInArrow(native.assemble_columns, "version_id long, root_id long, depth int, state binary")
-    return made.select(*[F.col(c).cast(versions.schema[c].dataType).alias(c) for c in ("version_id", "root_id")], "depth", "state")
+    return own.unionByName(inserts).unionByName(whole).repartition(n, "group").sortWithinPartitions("group", "at")
 
 
 def append_history(turns: DataFrame, key: str, order: str, payload: Column) -> DataFrame:

@@ -447,16 +447,13 @@ def sample_indices(spark, sf_dir):
 def equivalence(spark, sf_dir):
     """States replayed from edits against states read whole from piece tables and states put together from stored chunks."""
     t = graph(spark, sf_dir)
-    flat = stored(versions.replayed(t["version"], t["edit"], t["base"]).select("version_id", "state"), "flat")
-    own = stored(versions.digests(flat), "digests")
-    manifest, chunks = dedup.grouped_chunks(flat, "version_id", "state", 256)
-    dropped(flat)  # each representation goes when its digests are there
+    manifest, chunks = dedup.replayed_chunks(t["version"], t["edit"], t["base"], 256)
+    own = stored(manifest.select("version_id", "group", "at", "len", F.col("state_digest").alias("digest")), "digests")
     store = stored(dedup.grouped_store(chunks), "store")
-    chunked = stored(versions.digests(dedup.grouped_states(manifest, store, "version_id")), "digests")
-    places = stored(manifest.select("version_id", "group", "at", "len"), "places")
-    dropped(store, manifest)
+    chunked = stored(dedup.grouped_states(manifest, store, "version_id", digests=True), "digests")
+    dropped(store, manifest)  # each representation goes when its digests are there
     piece, buffers = pieces.piece_tables(t["version"], t["edit"], t["base"])
-    read = stored(versions.digests(pieces.whole(places, piece, buffers)), "digests")
+    read = stored(pieces.whole(own, piece, buffers, digests=True), "digests")
     dropped(piece, buffers)
     wrong = versions.differing(own, read).union(versions.differing(own, chunked)).agg(F.count("*").alias("mismatches")).withColumn("k", F.lit(0))
     return own.agg(F.count("*").alias("versions")).withColumn("k", F.lit(0)).join(wrong, "k").select("versions", "mismatches")

@@ -43,6 +43,21 @@ def test_chunks_like_a_rolling_scan(average):
         native.ChunkSizes(63)
 
 
+@pytest.mark.parametrize("average", [64, 256, 300, 1024])
+def test_chunks_of_a_group_like_each_alone(average):
+    rng, sizes = random.Random(average), native.ChunkSizes(average)
+    for _ in range(10):
+        states, group = [rng.randbytes(rng.choice([0, 300, 20_000]))], native.GroupChunks(sizes)
+        for _ in range(12):
+            p = rng.choice(states)
+            at = rng.randint(0, len(p))
+            states.append(p[:at] + rng.choice([rng.randbytes(rng.choice([0, 3, 9000])), b"." * rng.randint(0, 5000), p[:at]]) + p[at + rng.randint(0, 20) :])
+        for data in [*states, *(x[: len(x) // 2] for x in states)]:
+            ends = native.chunk_ends(data, sizes)
+            assert [group.chunks[i] for i in group.of(data)] == [data[a:b] for a, b in zip([0, *ends], ends)]
+        assert len(set(group.chunks)) == len(group.chunks)
+
+
 def test_an_insert_shifts_few_chunks():
     rng = random.Random(5)
     data = rng.randbytes(1 << 20)
